@@ -61,3 +61,17 @@ def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) ->
 def salted(key: str, buckets: int, *by: str):
     """A salt column for hot keys: a hash of the row's own columns, so that a repeated task gives the same rows."""
     return F.pmod(F.xxhash64(key, *by), F.lit(buckets)).cast("int")
+
+
+def join_values(rows: DataFrame, mapping: DataFrame, on: list[str], count: str, total: int, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Join rows to a table of their distinct values (with ``count`` rows each) without a hot value in one task.
+
+    A mapping within the bound is broadcast.  Beyond it the values that hold at least a thousandth of
+    the rows (there can be no more than a thousand) are broadcast and only the others are shuffled.
+    """
+    if mapping.count() <= bound:
+        return rows.join(F.broadcast(mapping.drop(count)), on)
+    hot = mapping.filter(F.col(count) >= total / 1000)
+    cold = mapping.filter(F.col(count) < total / 1000)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot.drop(count)), on).unionByName(rest.join(cold.drop(count), on))
