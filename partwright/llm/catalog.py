@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwright.llm import canonical, residue, truncation
+from partwright.llm import canonical, mainbody, residue, truncation
 from partwright.session import table
 
 NAME_FIELDS = {"part_manuf": "MANUFACTURER", "e1_brand": "BRAND", "unilog_brand": "BRAND", "dib_brand": "BRAND"}
@@ -47,7 +47,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = (p2_found, p2_rates, p5_found, p5_unmatched, p6_found)
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = mainbody.main_lines(table(spark, sf_dir, "source_context"), "context_id", "page_text", "canonical_product_url", "page_title")
+    return lines.filter("p_main > 0.5").select("context_id", "line_no")
+
+
+_QUERIES = (p2_found, p2_rates, p5_found, p5_unmatched, p6_found, p7_found)
 _SQL: dict[str, str] = {}
 
 
