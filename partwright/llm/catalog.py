@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwright.llm import canonical, mainbody, residue, truncation
+from partwright.llm import canonical, leakage, mainbody, residue, truncation
 from partwright.session import table
 
 NAME_FIELDS = {"part_manuf": "MANUFACTURER", "e1_brand": "BRAND", "unilog_brand": "BRAND", "dib_brand": "BRAND"}
@@ -52,7 +52,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.filter("p_main > 0.5").select("context_id", "line_no")
 
 
-_QUERIES = (p2_found, p2_rates, p5_found, p5_unmatched, p6_found, p7_found)
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return found.filter(F.col("n_words") >= leakage.MIN_WORDS)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each leaked item was found in, and the most words of it that one carries."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("most_words"))
+
+
+_QUERIES = (p2_found, p2_rates, p5_found, p5_unmatched, p6_found, p7_found, p9_found, p9_items)
 _SQL: dict[str, str] = {}
 
 
