@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwright.llm import canonical, leakage, mainbody, residue, truncation
+from partwright.llm import canonical, leakage, mainbody, packing, residue, subjects, truncation
 from partwright.session import table
 
 NAME_FIELDS = {"part_manuf": "MANUFACTURER", "e1_brand": "BRAND", "unilog_brand": "BRAND", "dib_brand": "BRAND"}
@@ -66,7 +66,30 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("most_words"))
 
 
-_QUERIES = (p2_found, p2_rates, p5_found, p5_unmatched, p6_found, p7_found, p9_found, p9_items)
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = {r["pack_id"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").collect()}
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", sizes)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_rates(p8_pack(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: documents of each subject and their share."""
+    found, names = p10_found(spark, sf_dir), table(spark, sf_dir, "subject_areas").select("subject_id", "subject_name")
+    total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_all"))
+    counted = found.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return names.join(counted, "subject_id", "left").join(F.broadcast(total)).select(
+        "subject_id", "subject_name", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.round(F.coalesce("n_documents", F.lit(0)) / F.col("n_all"), 6).alias("share_of_documents")
+    )
+
+
+_QUERIES = (p2_found, p2_rates, p5_found, p5_unmatched, p6_found, p7_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_composition)
 _SQL: dict[str, str] = {}
 
 
