@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partwright.plans import preparation
+from partwright.plans import preparation, profiling
 
-_MODULES = (preparation,)
+_MODULES = (preparation, profiling)
 
 
 def queries() -> dict:
