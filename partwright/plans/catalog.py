@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partwright.plans import preparation, profiling
+from partwright.plans import catalogue, preparation, profiling
 
-_MODULES = (preparation, profiling)
+_MODULES = (preparation, profiling, catalogue)
 
 
 def queries() -> dict:
