@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 
 def rolling_load(events: DataFrame, by: list[str], ts: str, seconds: int = 60) -> DataFrame:
-    """Each event with the events of its key in the ``seconds`` before it, the event itself included, the far edge not."""
+    """Each event with the events of its key in the ``seconds`` before it, the event itself included, the far edge not.
+
+    Time is cut into stretches of that length and every event also shown to the next stretch, so that a
+    key with very many events is spread over its stretches.  Events without a time get null.
+    """
+    span = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*by).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("_us", micros).withColumn("in_window", F.count(F.lit(1)).over(w)).drop("_us")
+    shown = events.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / span))
+    shown = shown.withColumn("_at", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(*by, "_at").orderBy("_us").rangeBetween(-(span - 1), 0)
+    counted = shown.withColumn("in_window", F.when(F.col("_us").isNotNull(), F.count(F.lit(1)).over(w)))
+    timed = counted.filter("_own = _at").drop("_us", "_own", "_at")
+    untimed = events.filter(F.col(ts).isNull()).withColumn("in_window", F.lit(None).cast("bigint"))
+    return timed.unionByName(untimed)
 
 
 def admitted(events: DataFrame, key: str, ts: str, weight: str, max_events: int, max_weight: float, seconds: int = 60) -> DataFrame:
@@ -44,12 +54,25 @@ def admitted(events: DataFrame, key: str, ts: str, weight: str, max_events: int,
     return rows.groupBy("_key").applyInPandas(run, f"_seq bigint, _key {kind}, admitted boolean, reason string").withColumnsRenamed({"_seq": "event_id", "_key": key})
 
 
-def failure_streaks(events: DataFrame, by: str, ts: str, failed, limit: int) -> DataFrame:
-    """Each event with the failures of its key since the last success, and OPEN or CLOSED by the limit."""
-    w = Window.partitionBy(by).orderBy(ts)
-    island = F.sum(F.when(failed, 0).otherwise(1)).over(w)
-    run = Window.partitionBy(by, "_i").orderBy(ts)
-    return events.withColumn("_i", island).withColumn("streak", F.sum(F.when(failed, 1).otherwise(0)).over(run)).withColumn("state", F.when(F.col("streak") >= limit, "OPEN").otherwise("CLOSED")).drop("_i")
+def failure_streaks(events: DataFrame, by: str, ts: str, failed, limit: int, days: int = 1) -> DataFrame:
+    """Each event with the failures of its key since the last success, and OPEN or CLOSED by the limit.
+
+    Time is cut into stretches of ``days``; a stretch is summed up by its successes and the failures after
+    the last one, and only these sums are carried along a key, so no task holds all events of a hot key.
+    """
+    rows = events.withColumn("_f", F.coalesce(failed, F.lit(False)).cast("int")).withColumn("_b", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (days * 86_400_000_000)))
+    here = Window.partitionBy(by, "_b").orderBy(ts)
+    rows = rows.withColumn("_s", F.sum(1 - F.col("_f")).over(here))
+    within = Window.partitionBy(by, "_b", "_s").orderBy(ts)
+    rows = rows.withColumn("_run", F.sum("_f").over(within))
+    sums = rows.groupBy(by, "_b").agg(F.sum(1 - F.col("_f")).alias("wins"), F.max(F.struct("_s", "_run"))["_run"].alias("tail"))
+    along = Window.partitionBy(by).orderBy("_b")
+    sums = sums.withColumn("_i", F.sum(F.when(F.col("wins") > 0, 1).otherwise(0)).over(along))
+    carried = F.sum("tail").over(Window.partitionBy(by, "_i").orderBy("_b"))
+    sums = sums.withColumn("_upto", carried).withColumn("_carry", F.coalesce(F.lag("_upto").over(along), F.lit(0)))
+    out = rows.join(sums.select(F.col(by).alias("_k"), F.col("_b").alias("_kb"), "_carry"), (F.col(by).eqNullSafe(F.col("_k"))) & (F.col("_b") == F.col("_kb")))
+    streak = F.col("_run") + F.when(F.col("_s") == 0, F.col("_carry")).otherwise(0)
+    return out.withColumn("streak", streak).withColumn("state", F.when(F.col("streak") >= limit, "OPEN").otherwise("CLOSED")).select(*events.columns, "streak", "state")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
