@@ -65,6 +65,31 @@ def paths_to(schema: str, name: str) -> list[str]:
     return sorted(found, key=lambda p: (p.count("."), p))
 
 
+def record_places(docs: DataFrame, record: str, column: str = "doc") -> list[str]:
+    """The places of ``record`` over all documents, shallowest first.
+
+    Every document's own schema is searched and the places are merged, so that files that differ in
+    shape (where a merged type falls back to VARIANT) still show theirs.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        known: dict[str, list[str]] = {}
+        for pdf in batches:
+            found = set()
+            for schema in pdf["s"]:
+                if schema not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[schema] = paths_to(schema, record)
+                found.update(known[schema])
+            yield pd.DataFrame({"place": sorted(found)}, dtype="object")
+
+    rows = docs.select(F.schema_of_variant(column).alias("s")).mapInPandas(run, "place string").distinct().collect()
+    return sorted((r["place"] for r in rows), key=lambda p: (p.count("."), p))
+
+
 def text_of(node: Column) -> Column:
     """The text of a scalar node as stored; null for a missing or JSON null one."""
     return F.try_variant_get(node, "$", "string")
@@ -151,14 +176,14 @@ def _rows(level: Level, node: Column, parent_no: Column) -> Column:
 def flatten_records(df: DataFrame, key: str, payload: str, record: str, levels: tuple[Level, ...]) -> DataFrame:
     """The child tables of all ``record`` elements of all payloads, stacked: key, ``record_no``, ``child_table``, ``parent_no``, ``child_no``, ``child_value``.
 
-    The places of ``record`` come from the merged schema of the whole table.  ``parent_no`` is 0 below
+    The places of ``record`` are inferred from the whole table.  ``parent_no`` is 0 below
     a record and the parent's ordinal deeper down, so (key, record_no, parent_no, child_no) links each
     row to its parent.  Null, broken or incomplete payloads and null or missing values give no row,
     repeated payloads give their rows under each key, extra columns are ignored, and a table without
     any whole payload gives an empty result.
     """
     docs = parsed(df, key, payload)
-    places = paths_to(merged_schema(docs), record) or [f"$.{record}"]
+    places = record_places(docs, record) or [f"$.{record}"]
     records = docs.select("_key", F.posexplode(elements(first_of(F.col("doc"), *places))).alias("_at", "rec"))
     rows = F.concat(*[_rows(level, F.col("rec"), F.lit(0)) for level in levels])
     kept = F.filter(rows, lambda r: r["child_value"].isNotNull())

@@ -64,5 +64,11 @@ def p4_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.child_table(flat, "run_id", "chunk")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_not_unique, p1_source_units, p3_found, p3_rules, p4_found, p4_chunks)}
+def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged schema of all whole payloads, one row."""
+    docs = nested.parsed(table(spark, sf_dir, "trace_runs"), "run_id", "payload").filter("schema_of_variant(doc) like 'OBJECT%'")
+    return docs.agg(F.count(F.lit(1)).alias("n_files"), F.schema_of_variant_agg("doc").alias("merged_schema"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_not_unique, p1_source_units, p3_found, p3_rules, p4_found, p4_chunks, p4_schema)}
 SQL = {"p1_source_units": P1_SOURCE_UNITS_SQL}
