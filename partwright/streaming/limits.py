@@ -20,11 +20,11 @@ def first_only(events: DataFrame, ids: list[str], ts: str, late: str = "1 day")
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(ids)
 
 
-def breaker(events: DataFrame, key: str, ts: str, failed: str, limit: int = 2, cooldown: int = 60) -> DataFrame:
+def breaker(events: DataFrame, key: str, ts: str, failed: str, limit: int = 2, cooldown: int = 60, late: str = "10 minutes", keep_hours: int = 1) -> DataFrame:
     """Per event the state of its key's breaker after it: CLOSED, OPEN, or HALF_OPEN for the first event after the cool-down.
 
     ``key`` is text, ``ts`` a timestamp, ``failed`` a boolean.  State per key is two numbers; it is kept
-    until the key has been quiet for an hour.
+    until the watermark is ``keep_hours`` past the key's last event.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -32,11 +32,13 @@ def breaker(events: DataFrame, key: str, ts: str, failed: str, limit: int = 2, c
             state.remove()
             return
         fails, opened = state.get if state.exists else (0, -1)
+        last = 0
         for pdf in batches:
             pdf = pdf.sort_values(ts, kind="stable")
             out = []
             for at, bad in zip(pdf[ts], pdf[failed]):
                 now = at.value // 1000
+                last = max(last, now)
                 half = opened >= 0 and now - opened >= cooldown * 1_000_000
                 if bad:
                     fails += 1
@@ -48,8 +50,8 @@ def breaker(events: DataFrame, key: str, ts: str, failed: str, limit: int = 2, c
                 out.append("HALF_OPEN" if half and not bad else shown)
             yield pd.DataFrame({key: [k[0]] * len(out), ts: list(pdf[ts]), "state": out})
         state.update((int(fails), int(opened)))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + keep_hours * 3_600_000)
 
-    return events.select(key, ts, failed).groupBy(key).applyInPandasWithState(
-        step, f"{key} string, {ts} timestamp, state string", "fails int, opened long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.select(key, ts, failed).withWatermark(ts, late).groupBy(key).applyInPandasWithState(
+        step, f"{key} string, {ts} timestamp, state string", "fails int, opened long", "append", GroupStateTimeout.EventTimeTimeout
     )

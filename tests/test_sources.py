@@ -78,7 +78,7 @@ def test_streams(spark, tmp_path):
 
     def run(df, name, mode):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination()
+        assert q.awaitTermination(60)
         return spark.table(name).collect()
 
     assert len(run(limits.first_only(stream(), ["event_id"], "ts"), "once", "append")) == 3
