@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partwright.plans import catalogue, preparation, profiling
+from partwright.plans import catalogue, matching, preparation, profiling, relational
 
-_MODULES = (preparation, profiling, catalogue)
+_MODULES = (preparation, profiling, catalogue, matching, relational)
 
 
 def queries() -> dict:
