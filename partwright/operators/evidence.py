@@ -28,9 +28,9 @@ def conflicts(candidates: DataFrame, keys: list[str], value: str, order: str) ->
     does not gather its rows; nulls and blanks are no values.
     """
     v = F.lower(text.collapse(F.col(value)))
-    first = candidates.filter(v != "").groupBy(*keys, v.alias("_v")).agg(F.min(F.struct(F.col(order), F.col(value))).alias("f"))
-    held = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_list("f")).alias("a")).filter("n_values > 1")
-    return held.select(*keys, "n_values", F.array_join(F.transform("a", lambda x: text.collapse(x[value])), " | ").alias("values"))
+    first = candidates.filter(v != "").groupBy(*keys, v.alias("_v")).agg(F.min(F.struct(F.col(order), F.col(value))).alias("_f"))
+    held = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_list("_f")).alias("_all")).filter("n_values > 1")
+    return held.select(*keys, "n_values", F.array_join(F.transform("_all", lambda x: text.collapse(x[value])), " | ").alias("values"))
 
 
 def settle(candidates: DataFrame, keys: list[str], value: str, rank: str, order: str) -> DataFrame:
@@ -40,10 +40,12 @@ def settle(candidates: DataFrame, keys: list[str], value: str, rank: str, order:
     """
     v = F.lower(text.collapse(F.col(value)))
     per_value = candidates.filter(v != "").groupBy(*keys, v.alias("_v")).agg(F.min(rank).alias("_r"), F.min(F.struct(F.col(order), F.col(value))).alias("_f"))
-    best = per_value.groupBy(*keys).agg(F.min("_r").alias("top"), F.count(F.lit(1)).alias("n_values"))
-    at_top = per_value.join(best, keys).filter("_r = top").groupBy(*keys).agg(F.first("top").alias("top"), F.first("n_values").alias("n_values"), F.count(F.lit(1)).alias("n_top"), F.min("_f").alias("f"))
-    verdict = F.when(F.col("n_values") == 1, "CLEAR").when(F.col("n_top") == 1, "AUTHORITATIVE").when(F.col("top") <= 1, "ESCALATE").otherwise("REVIEW")
-    return at_top.select(*keys, verdict.alias("resolution"), F.when(verdict.isin("CLEAR", "AUTHORITATIVE"), text.collapse(F.col("f")[value])).alias("chosen"), "n_values")
+    best = per_value.groupBy(*keys).agg(F.min("_r").alias("_top"), F.count(F.lit(1)).alias("n_values"))
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    at_top = per_value.alias("v").join(best.alias("b"), [*same, F.col("v._r") == F.col("b._top")]).select(*[F.col(f"v.{k}").alias(k) for k in keys], "_f", "_top", "n_values")
+    held = at_top.groupBy(*keys).agg(F.first("_top").alias("_top"), F.first("n_values").alias("n_values"), F.count(F.lit(1)).alias("_n"), F.min("_f").alias("_f"))
+    verdict = F.when(F.col("n_values") == 1, "CLEAR").when(F.col("_n") == 1, "AUTHORITATIVE").when(F.col("_top") <= 1, "ESCALATE").otherwise("REVIEW")
+    return held.select(*keys, verdict.alias("resolution"), F.when(verdict.isin("CLEAR", "AUTHORITATIVE"), text.collapse(F.col("_f")[value])).alias("chosen"), "n_values")
 
 
 def cited_unknown(proposals: DataFrame, cited: str, known: DataFrame, known_id: str, *keys: str) -> DataFrame:
