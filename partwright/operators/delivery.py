@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partwright.functions import numbers
+
 
 def filled(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
@@ -38,6 +40,27 @@ def triplets(df: DataFrame, key: str, attributes: str, slots: int) -> DataFrame:
     return df.select(key, a.alias("_a")).select(key, *[x for i in range(1, slots + 1) for x in (at(i)["key"].alias(f"label_{i}"), at(i)["value"].alias(f"value_{i}"))])
 
 
+def numbered_attributes(attributes: str) -> Column:
+    """The attributes that have a value, in the order written: an array of (place from 1, label, value, uom)."""
+    has = F.filter(F.map_entries(attributes), lambda e: e["value"].rlike(r"\S"))
+    split = lambda e: numbers.value_and_unit(e["value"])
+    return F.transform(has, lambda e, i: F.struct((i + 1).alias("place"), e["key"].alias("label"), split(e)["value"].alias("value"), split(e)["unit"].alias("uom")))
+
+
+def attribute_slots(df: DataFrame, key: str, attributes: str, slots: int) -> DataFrame:
+    """How many attributes a record has, and the first ``slots`` of them as ``label_i`` / ``value_i`` / ``uom_i``."""
+    at = lambda i: F.try_element_at(F.col("_a"), F.lit(i))
+    count = F.coalesce(F.size("_a"), F.lit(0)).alias("n_attributes")
+    a = df.select(key, F.coalesce(numbered_attributes(attributes), F.array()).alias("_a"))
+    return a.select(key, count, *[at(i)[c].alias(f"{c}_{i}") for i in range(1, slots + 1) for c in ("label", "value", "uom")])
+
+
+def beyond_slots(df: DataFrame, key: str, attributes: str, slots: int) -> DataFrame:
+    """The attributes for which a record has no slot left, one row each."""
+    rest = F.filter(numbered_attributes(attributes), lambda x: x["place"] > slots)
+    return df.select(key, F.inline(rest))
+
+
 def ordered_urls(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The links of several lists in the order of the lists, each once: ``url`` and ``place`` from 1."""
     every = F.array_distinct(F.filter(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in columns]), lambda u: u.isNotNull()))

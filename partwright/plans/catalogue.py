@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partwright.functions import text, urls
+from partwright.functions import numbers, text, urls
 from partwright.operators import delivery, evidence, nested, registry, timeline
 from partwright.plans.profiling import RAW, _COLLAPSE, _KEY, rows
 from partwright.session import table
@@ -248,6 +248,40 @@ def P3_triplets(spark, sf_dir):
 P3_SQL = "WITH e AS (SELECT record_id, list_sort(map_entries(expected_attributes)) AS a FROM expected_products) SELECT record_id, " + ", ".join(f"a[{i}].key AS label_{i}, a[{i}].value AS value_{i}" for i in range(1, 7)) + " FROM e"
 
 
+# The slots of the delivery file.
+SLOTS = 50
+
+
+def P3_attribute_slots(spark, sf_dir):
+    return delivery.attribute_slots(table(spark, sf_dir, "expected_products"), "record_id", "expected_attributes", SLOTS)
+
+
+def P3_beyond_slots(spark, sf_dir):
+    """The attributes after the last slot as long rows."""
+    return delivery.beyond_slots(table(spark, sf_dir, "expected_products"), "record_id", "expected_attributes", SLOTS)
+
+
+_VALUE_UNIT = numbers._VALUE_UNIT.replace("'", "''")
+
+
+def numbered_sql(source: str = "expected_products") -> str:
+    """Attributes with a value, numbered in the order written, as (record_id, place, label, value, uom)."""
+    return f"""
+SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY o) AS INTEGER) AS place, label,
+ CASE WHEN regexp_extract(raw, '{_VALUE_UNIT}', 1) <> '' THEN regexp_extract(raw, '{_VALUE_UNIT}', 1) ELSE trim(raw) END AS value, nullif(regexp_extract(raw, '{_VALUE_UNIT}', 2), '') AS uom
+FROM (SELECT record_id, unnest(map_keys(expected_attributes)) AS label, unnest(map_values(expected_attributes)) AS raw, generate_subscripts(map_keys(expected_attributes), 1) AS o FROM {source}) WHERE regexp_matches(raw, '\\S')
+"""
+
+
+def slots_sql(slots: int, source: str = "expected_products") -> str:
+    places = ", ".join(f"max({c}) FILTER (place = {i}) AS {c}_{i}" for i in range(1, slots + 1) for c in ("label", "value", "uom"))
+    return f"WITH a AS ({numbered_sql(source)}) SELECT record_id, CAST(count(place) AS INTEGER) AS n_attributes, {places} FROM {source} LEFT JOIN a USING (record_id) GROUP BY record_id"
+
+
+def beyond_sql(slots: int, source: str = "expected_products") -> str:
+    return f"SELECT * FROM ({numbered_sql(source)}) WHERE place > {slots}"
+
+
 def X5_asset_urls(spark, sf_dir):
     return delivery.ordered_urls(table(spark, sf_dir, "source_context"), "context_id", ["image_urls", "document_urls"])
 
@@ -356,7 +390,7 @@ M18_SQL = "SELECT feed_source, count(*) AS n_rows, max((epoch_us(received_at) -
 _PAIRS = [
     (J1_tiered_resolution, J1_SQL), (J2_fuzzy, None), (J4_by_code, J4_SQL), (J6_only_parent, J6_SQL), (J12_longest_prefix, J12_SQL), (J7_rule_for, J7_SQL), (W1_forward_fill, W1_SQL), (A16_allowed_values, A16_SQL),
     (J14_domains, J14_SQL), (J16_uncovered_pages, J16_SQL), (J24_duplicate_classes, J24_SQL), (A11_conflicts, A11_SQL), (M8_settled, M8_SQL), (C22_support, None), (T6_top_chunks, T6_SQL), (A7_upper_median, A7_SQL),
-    (A9_feed_completeness, A9_SQL), (M5_completeness, M5_SQL), (F21_row_categories, F21_SQL), (P3_triplets, P3_SQL), (X5_asset_urls, X5_SQL), (C27_asset_types, C27_SQL), (C16_descriptions, C16_SQL), (W3_rolling_load, W3_SQL),
+    (A9_feed_completeness, A9_SQL), (M5_completeness, M5_SQL), (F21_row_categories, F21_SQL), (P3_triplets, P3_SQL), (P3_attribute_slots, slots_sql(SLOTS)), (P3_beyond_slots, beyond_sql(SLOTS)), (X5_asset_urls, X5_SQL), (C27_asset_types, C27_SQL), (C16_descriptions, C16_SQL), (W3_rolling_load, W3_SQL),
     (W7_failure_streaks, W7_SQL), (W3_admitted, None), (U5_cache_state, U5_SQL), (R5_load_once, R5_SQL), (K6_latest_records, K6_SQL), (A15_trace_totals, A15_SQL), (M18_late_rows, M18_SQL),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
