@@ -188,6 +188,38 @@ def P4_payload(spark, sf_dir):
 P4_SQL = "SELECT record_id, '{\"record_id\":' || record_id || CASE WHEN mpn IS NULL THEN '' ELSE ',\"mpn\":' || to_json(mpn) END || ',\"n\":' || len(map_keys(expected_attributes)) || '}' AS payload, array_to_string(list_sort(map_keys(expected_attributes)), ',') AS names FROM expected_products WHERE expected_attributes IS NOT NULL"
 
 
+def P4_attribute_payload(spark, sf_dir):
+    """Each golden record as one JSON text: the map of attribute to value in order of the names, and its page captures with the values that their text quotes."""
+    return payloads(table(spark, sf_dir, "expected_products"), pages(spark, sf_dir))
+
+
+def payloads(products, captures):
+    maker = F.struct(F.lit("Manufacturer").alias("key"), F.col("manufacturer").alias("value"))
+    named = F.when(F.col("manufacturer").isNotNull() & ~F.exists("_e", lambda e: e["key"] == "Manufacturer"), F.array(maker)).otherwise(F.array())
+    given = F.filter(F.coalesce(F.map_entries("expected_attributes"), F.array()), lambda e: e["value"].isNotNull())
+    e = products.select("record_id", "product_id", "mpn", "manufacturer", given.alias("_e"))
+    e = e.select("record_id", "product_id", "mpn", F.array_sort(F.concat("_e", named)).alias("_e"))
+    s = captures.filter("canonical_product_url is not null").select("product_id", "context_id", "canonical_product_url", "source_type", "source_authority", "page_text")
+    quoted = F.transform(F.filter("_e", lambda x: x["value"].rlike(r"\S") & F.coalesce(F.contains("page_text", x["value"]), F.lit(False))), lambda x: x["value"])
+    source = F.struct("context_id", F.col("canonical_product_url").alias("url"), F.col("source_type").alias("type"), F.col("source_authority").alias("authority"), quoted.alias("evidence"))
+    of = e.select("record_id", "product_id", "_e").join(s, "product_id").select("record_id", source.alias("s")).groupBy("record_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    body = F.struct("record_id", "product_id", "mpn", F.map_from_entries("_e").alias("product"), F.transform(F.coalesce("s", F.array()), lambda x: x.dropFields("context_id")).alias("sources"))
+    return e.join(of, "record_id", "left").select("record_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+P4_ATTRIBUTE_SQL = r"""
+WITH g AS (SELECT record_id, product_id, mpn, manufacturer, list_filter(coalesce(map_entries(expected_attributes), []), lambda e: e.value IS NOT NULL) AS a FROM expected_products),
+e AS (SELECT record_id, product_id, mpn, list_sort(CASE WHEN manufacturer IS NULL OR list_contains(list_transform(a, lambda x: x.key), 'Manufacturer') THEN a ELSE list_append(a, {'key': 'Manufacturer', 'value': manufacturer}) END) AS a FROM g),
+s AS (SELECT record_id, context_id, to_json({'url': canonical_product_url, 'type': source_type, 'authority': source_authority,
+  'evidence': list_transform(list_filter(a, lambda x: regexp_matches(x.value, '\S') AND coalesce(contains(page_text, x.value), FALSE)), lambda x: x.value)})::VARCHAR AS j
+ FROM e JOIN source_context USING (product_id) WHERE canonical_product_url IS NOT NULL),
+l AS (SELECT record_id, string_agg(j, ',' ORDER BY context_id) AS j FROM s GROUP BY 1)
+SELECT e.record_id, '{"record_id":' || e.record_id || ',"product_id":' || coalesce(to_json(product_id)::VARCHAR, 'null') || ',"mpn":' || coalesce(to_json(mpn)::VARCHAR, 'null') || ',"product":{' ||
+ array_to_string(list_transform(a, lambda x: to_json(x.key)::VARCHAR || ':' || to_json(x.value)::VARCHAR), ',') || '},"sources":[' || coalesce(l.j, '') || ']}' AS payload
+FROM e LEFT JOIN l USING (record_id)
+"""
+
+
 def P10_snapshot(spark, sf_dir):
     """Which raw fields of a row hold placeholders, and how many hold a value."""
     names = F.array_compact(F.array(*[F.when(text.strip(F.col(c)).isin(text.PLACEHOLDERS), F.lit(c)) for c in RAW]))
@@ -231,7 +263,7 @@ S12_SQL = r"SELECT m.record_id AS manufacturer_id, m.canonical_name AS maker, tr
 
 _PAIRS = [
     (J11_family, J11_SQL), (J15_records_of_products, J15_SQL), (J21_mpn_in_description, J21_SQL), (J22_candidate_urls, J22_SQL), (X2_missing_attributes, X2_SQL), (W5_image_roles, W5_SQL), (T8_spec_line, None), (C8_code_tokens, C8_SQL),
-    (C15_features, C15_SQL), (C19_description_checks, C19_SQL), (M3_fraction_table, M3_SQL), (M4_identity_score, None), (M7_running_budget, M7_SQL), (X9_known_hosts, X9_SQL), (F14_private_hosts, None), (P4_payload, P4_SQL),
+    (C15_features, C15_SQL), (C19_description_checks, C19_SQL), (M3_fraction_table, M3_SQL), (M4_identity_score, None), (M7_running_budget, M7_SQL), (X9_known_hosts, X9_SQL), (F14_private_hosts, None), (P4_payload, P4_SQL), (P4_attribute_payload, P4_ATTRIBUTE_SQL),
     (P10_snapshot, P10_SQL), (K7_stable_ids, K7_SQL), (C33_snippets, C33_SQL), (S12_master, S12_SQL),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}

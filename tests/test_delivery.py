@@ -1,10 +1,11 @@
+import json
 import os
 
 import duckdb
 import pytest
 
 from partwright.operators import delivery
-from partwright.plans import catalog, catalogue
+from partwright.plans import catalog, catalogue, matching
 
 FIVE = "map('Size', '7/8 in', 'Amps', '9.5 Amps', 'Blank', ' ', 'Type', 'Planer', 'None', null, 'Grit', '120', 'Arbor', '22.23 mm')"
 
@@ -37,3 +38,16 @@ def test_no_attribute_is_lost_between_slots_and_rows(spark, data):
     given = spark.read.parquet(os.path.join(data, "expected_products.parquet")).selectExpr("explode(expected_attributes) AS (k, v)").filter(r"v rlike '\\S'").count()
     filled = sum(sum(r[f"label_{i}"] is not None for i in range(1, 51)) for r in wide.collect())
     assert filled + more == given
+
+
+def test_payload_holds_every_value_and_the_sources(spark):
+    attributes = "map('Size', '7/8 in', 'Amps', '9.5 \"A\"', 'None', null)"
+    products = spark.sql(f"SELECT 1L AS record_id, 'p1' AS product_id, 'M-1' AS mpn, 'Pelrimar' AS manufacturer, {attributes} AS expected_attributes UNION ALL SELECT 2L, null, null, null, null")
+    captures = spark.createDataFrame(
+        [(8, "p1", "https://b.example", "MANUAL", None, None), (7, "p1", "https://a.example", "PAGE", "MAKER", "Blade of 7/8 in"), (9, "p1", None, "PAGE", None, "7/8 in")],
+        "context_id bigint, product_id string, canonical_product_url string, source_type string, source_authority string, page_text string",
+    )
+    got = {r.record_id: json.loads(r.payload) for r in matching.payloads(products, captures).collect()}
+    assert got[1]["product"] == {"Amps": '9.5 "A"', "Manufacturer": "Pelrimar", "Size": "7/8 in"} and list(got[1]["product"]) == sorted(got[1]["product"])
+    assert got[1]["sources"] == [{"url": "https://a.example", "type": "PAGE", "authority": "MAKER", "evidence": ["7/8 in"]}, {"url": "https://b.example", "type": "MANUAL", "authority": None, "evidence": []}]
+    assert got[2] == {"record_id": 2, "product_id": None, "mpn": None, "product": {}, "sources": []}
