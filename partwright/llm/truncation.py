@@ -1,11 +1,11 @@
 """Text cut off by field limits.
 
 Three kinds of evidence, all computed row by row inside the JVM.  A stack automaton over brackets
-and markup, with checks for broken multibyte sequences, escapes and ellipses, finds ends that no
-complete text has.  A baseline of terminators, learned from values that are proven complete, finds
+and markup and double quotes, with checks for broken multibyte sequences, escapes and ellipses, finds
+ends that no complete text has (single quotes are left out, being apostrophes and foot marks).  A
+baseline of terminators for each source, learned from its values that are proven complete, finds
 ends on which complete values do not stop.  And fields of one record that carry the same text show
-each other's missing ends.  Besides the baseline, a short list with a proven bound, nothing is
-joined or shuffled.
+each other's missing ends.  Only the counts of proven endings are shuffled.
 """
 
 from __future__ import annotations
@@ -13,40 +13,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwright.session import cut
+from partwright.session import broadcast_if_small, cut
 
-# A token counts as terminator when it ends at least this share of the proven complete values;
-# there can be no more than 1 / MIN_SHARE terminators.
+# A token counts as terminator of a source when it ends at least this share of its proven complete values;
+# there can be no more than 1 / MIN_SHARE terminators of a source.
 MIN_SHARE = 2e-4
+# A terminator of all sources together holds for a source as long as fewer endings with it than this were to be expected there.
+EXPECTED = 20
 # Shortest common text by which two fields of a record are aligned.
 MIN_ALIGN = 8
 # Ends left by a cut inside an escape, an entity, a tag or a multibyte sequence, or put in place of the lost end.
 BROKEN_END = r"(?:\s*(?:\.\.\.|…)|�+|&(?:[a-z]{1,7}|#[0-9a-fx]*)?|<[/!]?[a-z0-9]*(?: [^<>]*)?|\\(?:u[0-9a-f]{0,3}|x[0-9a-f]?)?|%[0-9a-f]?(?![^%]))$"
 # Signs without which the longer expression need not be tried.
 _SUSPECT = r"[&<\\%…�]|\.\.\.$"
+_OPENING_QUOTE = r'(?<![^\s(\[{])"(?=[^\s"])'
 _PARTIAL_SUFFIX = r"(?:\s*\([^()]*\)?|,(?: (?:s|so|sol|sold\b.*|m|ma|mad|made\b.*|f|fr|fro|from\b.*)?)?)$"
 _WHOLE_SUFFIX = r"^(?: \([^()\s][^()]*\)|, (?:sold by|made by|from) .+\. item \S+\.)$"
 
 
 def unclosed(text: Column) -> Column:
-    """True where a bracket or tag is still open at the end: a pushdown automaton over the opening and closing signs."""
-    signs = F.regexp_extract_all(text, F.lit(r"[()\[\]{}]|<[a-zA-Z/!][^<>]*>?"), F.lit(0))
+    """True where a bracket, tag or double quote is still open at the end: a pushdown automaton over the opening and closing signs.
+
+    A quote opens before a word only; elsewhere it closes an open one or is an inch mark.
+    """
+    turned = F.when(text.rlike(_OPENING_QUOTE), F.regexp_replace(F.regexp_replace(text, _OPENING_QUOTE, "“"), '"', "”")).otherwise(text)
+    signs = F.regexp_extract_all(turned, F.lit(r"[()\[\]{}“”]|<[a-zA-Z/!][^<>]*>?"), F.lit(0))
     kind = lambda t: (
-        F.when(t.isin("(", ")"), F.lit("(")).when(t.isin("[", "]"), F.lit("[")).when(t.isin("{", "}"), F.lit("{")).otherwise(F.lower(F.regexp_extract(t, r"^</?([a-zA-Z0-9]*)", 1)))
+        F.when(t.isin("(", ")"), F.lit("(")).when(t.isin("[", "]"), F.lit("[")).when(t.isin("{", "}"), F.lit("{")).when(t.isin("“", "”"), F.lit("“")).otherwise(F.lower(F.regexp_extract(t, r"^</?([a-zA-Z0-9]*)", 1)))
     )
 
     def step(stack: Column, t: Column) -> Column:
-        closing = t.isin(")", "]", "}") | t.startswith("</")
+        closing = t.isin(")", "]", "}", "”") | t.startswith("</")
         void = t.startswith("<") & (t.endswith("/>") | t.startswith("<!") | kind(t).isin("br", "hr", "img", "meta", "link", "input"))
         open_tag = t.startswith("<") & ~t.endswith(">")
         popped = F.when(F.try_element_at(stack, F.lit(-1)).eqNullSafe(kind(t)), F.slice(stack, 1, F.size(stack) - 1)).otherwise(stack)
         return F.when(open_tag, F.concat(stack, F.array(F.lit("<")))).when(void, stack).when(closing, popped).otherwise(F.concat(stack, F.array(kind(t))))
 
-    return F.when(text.rlike(r"[(\[{<]"), F.size(F.aggregate(signs, F.array().cast("array<string>"), step)) > 0).otherwise(F.lit(False))
+    return F.when(text.rlike(r"[(\[{<“]|" + _OPENING_QUOTE), F.size(F.aggregate(signs, F.array().cast("array<string>"), step)) > 0).otherwise(F.lit(False))
 
 
 def broken_end(text: Column) -> Column:
-    """True where the text ends inside an escape, entity, tag or multibyte sequence, in an ellipsis, or with a bracket open."""
+    """True where the text ends inside an escape, entity, tag or multibyte sequence, in an ellipsis, or with a bracket or quote open."""
     return F.when(text.rlike(_SUSPECT), F.lower(text).rlike(BROKEN_END)).otherwise(F.lit(False)) | unclosed(text)
 
 
@@ -106,18 +113,29 @@ def completeness(df: DataFrame, base: str, carriers: dict[str, bool], reference:
             numbered = F.coalesce(F.endswith(head, F.concat(F.col("_num"), F.lit(" "))), F.lit(True))
             good = has & (rest.rlike(_WHOLE_SUFFIX) | ((rest == "") & numbered))
             done = text.rlike(r"\S \([^()\s][^()]*\)$|, (?:sold by|made by|from) .+\. item \S+\.$")
-            out.append(verdict(c, text, usable & ~good & ~done, done, F.when(done, F.lit(")")).otherwise(F.trim(F.col(c)))))
+            out.append(verdict(c, text, usable & ~good & ~done, done | (usable & good & full.eqNullSafe(F.col("_r"))), F.when(done, F.lit(")")).otherwise(F.trim(F.col(c)))))
         else:
-            out.append(verdict(c, text, usable & ~F.endswith(text, full), F.lit(False), F.trim(F.col(c))))
+            # only the reference bears witness: other fields are cut at the same place where their limits agree
+            out.append(verdict(c, text, usable & ~F.endswith(text, full), usable & F.endswith(text, full) & full.eqNullSafe(F.col("_r")), F.trim(F.col(c))))
     return rows.withColumn("_evidence", F.filter(F.array(*out), lambda x: x.isNotNull()))
 
 
-def terminators(flat: DataFrame) -> list[str]:
-    """The tokens on which proven complete values end; at most 1 / MIN_SHARE of them."""
-    ends = flat.filter("proven and token != '' and token != ')'").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+def terminators(flat: DataFrame, source: str) -> DataFrame:
+    """The tokens on which proven complete values of each source end: ``source``, ``token``.
+
+    A source's own endings count by their share in it.  Terminators of all sources together are added
+    unless the source has proven endings enough to show that it does not use them.
+    """
+    proven = F.col("proven") & (F.col("token") != "") & (F.col("token") != ")")
+    ends = cut(flat.filter(proven).groupBy(source, "token").agg(F.count(F.lit(1)).alias("n")))
+    sources = flat.groupBy(source).agg(F.sum(proven.cast("bigint")).alias("t"))
     total = ends.agg(F.sum("n").alias("t"))
-    kept = ends.join(F.broadcast(total), (F.col("n") >= 3) & (F.col("n") >= F.col("t") * MIN_SHARE))
-    return sorted(r["token"] for r in kept.select("token").collect())
+    both = ends.groupBy("token").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total))
+    pooled = both.filter((F.col("n") >= 3) & (F.col("n") >= F.col("t") * MIN_SHARE)).select("token", (F.col("n") / F.col("t")).alias("q"))
+    rows = ends.join(sources.withColumnRenamed(source, "_of"), F.col(source).eqNullSafe(F.col("_of"))).join(pooled, "token", "left")
+    own = rows.filter((F.col("n") >= 3) & (F.col("q").isNotNull() | (F.col("n") >= F.col("t") * MIN_SHARE))).select(source, "token")
+    lent = sources.crossJoin(pooled).filter(F.col("t") * F.col("q") < EXPECTED).select(source, "token")
+    return cut(own.unionByName(lent).distinct())
 
 
 def truncated(df: DataFrame, key: str, source: str, base: str, carriers: dict[str, bool], reference: str | None = None, part_number: str | None = None) -> DataFrame:
@@ -132,6 +150,9 @@ def truncated(df: DataFrame, key: str, source: str, base: str, carriers: dict[st
     rows = completeness(df.select(*dict.fromkeys(names)), base, carriers, reference, part_number)
     # inline_outer, since inline would infer a filter and push a copy of the whole evidence below every projection
     flat = cut(rows.select(key, source, F.inline_outer("_evidence"))).filter("field is not null")
-    ends = terminators(flat)
-    unknown = ~F.col("token").isin(*ends, ")") if ends else F.lit(False)
+    ends = terminators(flat, source)
+    n = ends.count()
+    known = broadcast_if_small(ends.select(F.col(source).alias("_of"), F.col("token").alias("_end")), n)
+    unknown = F.col("_end").isNull() & (F.col("token") != ")") if n else F.lit(False)
+    flat = flat.join(known, F.col(source).eqNullSafe(F.col("_of")) & (F.col("token") == F.col("_end")), "left")
     return flat.select(key, source, F.col("field").alias("field_name"), (F.col("broken") | F.col("cut") | (~F.col("proven") & unknown)).alias("is_cut"), "broken", "cut", "proven", "token")

@@ -43,6 +43,33 @@ def test_truncated(spark):
     assert truncation.truncated(spark.createDataFrame([], schema), *args).count() == 0
 
 
+def test_unclosed_quotes_apart_from_inch_marks(spark):
+    cases = [('the "Big', True), ('the "Big" one', False), ('18" blade', False), ('Blade 7/8"', False), ('"size 5"', False), ('kit ("A" and "B', True), ("“Big", True), ("“Big”", False), ('a 5 " b', False)]
+    df = spark.createDataFrame(cases, "t string, e boolean")
+    assert [(r.t, r.got) for r in df.select("t", truncation.broken_end(F.col("t")).alias("got")).collect()] == cases
+
+
+def test_terminators_are_those_of_the_source(spark):
+    def rows(source, start, n, end):
+        return [(start + i, source, f"A-{start + i} Steel Bolt {end}", f"MAKER A-{start + i} STEEL BOLT {end.upper()}", None, f"Brand A-{start + i}, A-{start + i} Steel Bolt {end}", f"A-{start + i}", "x") for i in range(n)]
+
+    asked = [(90001, "small", "A-90001 Hex Nut Zinkweiss", None, None, None, "A-90001", "x"), (90002, "large", "A-90002 Hex Nut Zinkweiss", None, None, None, "A-90002", "x"), (90003, "other", "A-90003 Hex Nut Galv", None, None, None, "A-90003", "x"), (90004, "other", "A-90004 Hex Nut Hand", None, None, None, "A-90004", "x"), (90005, "new", "A-90005 Hex Nut Galv", None, None, None, "A-90005", "x")]
+    # small's own ending lies below MIN_SHARE of all endings; Galv is an ending of large alone; new has no proven value
+    data = rows("large", 10000, 16000, "Galv") + rows("small", 50000, 3, "Zinkweiss") + rows("other", 60000, 300, "Hand") + asked
+    schema = "row_id bigint, feed_source string, part_desc string, invoice_desc string, mobile_desc string, short_desc string, mfg_part_num string, token string"
+    args = ("row_id", "feed_source", "part_desc", {"invoice_desc": False, "mobile_desc": True}, "short_desc", "mfg_part_num")
+    got = {(r.row_id, r.field_name) for r in truncation.truncated(spark.createDataFrame(data, schema), *args).filter("is_cut").collect()}
+    assert got == {(90002, "part_desc"), (90003, "part_desc")}
+
+
+def test_aligned_invoice_is_proven(spark):
+    d = "Steel Bolt Galv"
+    rows = [(i, "f", d, f"MAKER {d}".upper(), None, f"Brand A-{i}, {d}", f"A-{i}") for i in range(9)] + [(20, "f", "Steel Bolt Brass", "MAKER STEEL BOLT BRASS", None, "Brand A-20, Steel Bolt Brass", "A-20")]
+    df = spark.createDataFrame(rows, "row_id bigint, feed_source string, part_desc string, invoice_desc string, mobile_desc string, short_desc string, mfg_part_num string")
+    got = truncation.truncated(df, "row_id", "feed_source", "part_desc", {"invoice_desc": False, "mobile_desc": True}, "short_desc", "mfg_part_num")
+    assert got.filter("is_cut").count() == 0 and got.filter("field_name = 'invoice_desc' and proven").count() == 10
+
+
 def test_edits_against_definition():
     def slow(a, b):
         if not a or not b:
