@@ -1,28 +1,23 @@
 """Template residue, filler and error-page text among values.
 
 Work is done on distinct values.  Trusted patterns label some of them; the labels then travel along
-near-duplicate links: SimHash fingerprints are kept in tables partitioned by bands, candidates that
-share a band are verified by Hamming distance and text similarity, and a breadth-first walk from the
-trusted values reaches all members of their connected components, round by round, without ever
+near-duplicate links: a labelled value is cut into one piece more than a similar value can have edits,
+so that every similar value holds one piece unchanged (pigeonhole); values that hold a piece are
+verified by text similarity, and a breadth-first walk from the trusted values reaches all members of their connected components, round by round, without ever
 listing pairs between values that no label can reach.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwright.session import broadcast_if_small, cut
 
-# Hamming distance up to which fingerprints are near-duplicates, and the bands that find all of them (pigeonhole).
-MAX_HAMMING = 3
-BANDS = 4
+# Similarity from which values are linked: 1 - edits / length of the longer value.
 MIN_SIMILARITY = 0.85
-# Values shorter than this are not linked: one edit would change too much of them.
-MIN_LINK = 6
+# Lengths of the pieces of values that allow an edit; shorter values allow none and are one piece.
+PIECES = (3, 6)
 
 # Placeholders as template languages write them.
 TEMPLATE = [
@@ -77,23 +72,24 @@ def trusted(text: Column, titled: bool) -> Column:
     return template | empty | notice
 
 
-def _fingerprints(batches):
-    shifts = np.arange(64, dtype=np.uint64)
-    for pdf in batches:
-        out = []
-        for text in pdf["core"]:
-            padded = f" {text} "
-            grams = {padded[i : i + 3] for i in range(max(1, len(padded) - 2))}
-            h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
-            votes = ((h[:, None] >> shifts) & np.uint64(1)).astype(np.int32).sum(axis=0) * 2 - len(grams)
-            out.append(int(np.sum((votes > 0).astype(np.uint64) << shifts, dtype=np.uint64).astype(np.int64)))
-        yield pd.DataFrame({"value_id": pdf["value_id"], "core": pdf["core"], "trusted": pdf["trusted"], "print": pd.Series(out, dtype="int64")})
+def most_edits(n: Column) -> Column:
+    """The most edits between a value of this length and a value similar to it, which may be longer."""
+    return F.floor(F.floor(n / MIN_SIMILARITY + 1e-9) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
 
 
-def _banded(prints: DataFrame) -> DataFrame:
-    width = 64 // BANDS
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("print", b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for b in range(BANDS)])
-    return prints.select("value_id", "core", "print", F.inline(bands))
+def pieces(text: Column) -> Column:
+    """The text cut into one piece more than it can have edits, of lengths that differ by one at most."""
+    n, parts = F.length(text), most_edits(F.length(text)) + 1
+    begin = lambda i: F.floor(i * n / parts).cast("int")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(text, begin(i) + 1, begin(i + 1) - begin(i))))
+
+
+def _substrings(text: Column) -> Column:
+    """All that a piece can be equal to."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array())
+    grams = [of(k) for k in range(PIECES[0], PIECES[1] + 1)]
+    return F.array_distinct(F.concat(F.array(text), *grams))
 
 
 def spread_labels(values: DataFrame) -> DataFrame:
@@ -102,20 +98,20 @@ def spread_labels(values: DataFrame) -> DataFrame:
     ``values`` has value_id, core and trusted, one row per distinct value.  Each round joins only the
     values labelled in the round before; it ends when none is added.
     """
-    prints = cut(values.filter(F.length("core") >= MIN_LINK).mapInPandas(_fingerprints, "value_id bigint, core string, trusted boolean, print bigint"))
-    table = _banded(prints.filter("not trusted"))
+    linked = values.filter("core != ''").select("value_id", "core", "trusted")
+    table = linked.filter("not trusted").select("value_id", "core", F.explode(_substrings(F.col("core"))).alias("piece"))
     labelled = values.filter("trusted").select("value_id")
-    frontier = prints.filter("trusted").select("value_id", "core", "print")
+    frontier = linked.filter("trusted").select("value_id", "core")
     found = None
     while True:
         n = frontier.count()
         if n == 0:
             break
-        asked = _banded(frontier).select("band", "bits", F.col("core").alias("core_f"), F.col("print").alias("print_f"))
-        near = table.join(broadcast_if_small(asked, n * BANDS), ["band", "bits"])
-        near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("print_f"))) <= MAX_HAMMING)
-        similar = 1 - F.levenshtein("core", "core_f") / F.greatest(F.length("core"), F.length("core_f"))
-        new = near.filter(similar >= MIN_SIMILARITY).select("value_id", "core", "print").dropDuplicates(["value_id"])
+        asked = cut(frontier.select("core").distinct().select(F.col("core").alias("core_f"), F.explode(pieces(F.col("core"))).alias("piece")))
+        near = table.join(broadcast_if_small(asked, asked.count()), "piece")
+        longer = F.greatest(F.length("core"), F.length("core_f"))
+        near = near.filter(F.abs(F.length("core") - F.length("core_f")) <= longer * (1 - MIN_SIMILARITY) + 1e-9)
+        new = near.filter(F.levenshtein("core", "core_f") <= longer * (1 - MIN_SIMILARITY) + 1e-9).select("value_id", "core").dropDuplicates(["value_id"])
         if found is not None:
             new = new.join(found.select("value_id"), "value_id", "left_anti")
         frontier = cut(new)

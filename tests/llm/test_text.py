@@ -70,6 +70,37 @@ def test_aligned_invoice_is_proven(spark):
     assert got.filter("is_cut").count() == 0 and got.filter("field_name = 'invoice_desc' and proven").count() == 10
 
 
+def test_links_find_all_that_brute_force_finds(spark):
+    rnd = random.Random(4)
+    known = ["tba", "access denied", "page not found", "service temporarily unavailable", "please enable javascript to continue reading this page", "unbranded"]
+
+    def changed(t, n):
+        for _ in range(n):
+            i, kind = rnd.randrange(len(t)), rnd.choice("dis")
+            t = t[:i] + ("" if kind == "d" else rnd.choice("abcxyz")) + t[i + (kind != "i") :]
+        return t
+
+    cores = sorted({changed(t, rnd.randint(1, 6)) for t in known if len(t) > 6 for _ in range(60)} - set(known))
+    rows = [(i, t, True) for i, t in enumerate(known)] + [(100 + i, t, False) for i, t in enumerate(cores)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        return row[-1]
+
+    near = lambda a, b: distance(a, b) <= 0.15 * max(len(a), len(b)) + 1e-9
+    want, frontier = set(known), set(known)
+    while frontier:
+        frontier = {c for c in cores if c not in want and any(near(c, f) for f in frontier)}
+        want |= frontier
+    got = residue.spread_labels(spark.createDataFrame(rows, "value_id bigint, core string, trusted boolean"))
+    names = {i: t for i, t, _ in rows}
+    assert {names[r.value_id] for r in got.collect()} == want and len(known) + 60 < len(want) < len(rows)
+
+
 def test_edits_against_definition():
     def slow(a, b):
         if not a or not b:
