@@ -70,35 +70,48 @@ def test_aligned_invoice_is_proven(spark):
     assert got.filter("is_cut").count() == 0 and got.filter("field_name = 'invoice_desc' and proven").count() == 10
 
 
-def test_links_find_all_that_brute_force_finds(spark):
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _changed(rnd, t, n):
+    for _ in range(n):
+        i, kind = rnd.randrange(len(t)), rnd.choice("dis")
+        t = t[:i] + ("" if kind == "d" else rnd.choice("abcdxyz")) + t[i + (kind != "i") :]
+    return t
+
+
+def test_links_against_brute_force(spark):
     rnd = random.Random(4)
-    known = ["tba", "access denied", "page not found", "service temporarily unavailable", "please enable javascript to continue reading this page", "unbranded"]
-
-    def changed(t, n):
-        for _ in range(n):
-            i, kind = rnd.randrange(len(t)), rnd.choice("dis")
-            t = t[:i] + ("" if kind == "d" else rnd.choice("abcxyz")) + t[i + (kind != "i") :]
-        return t
-
-    cores = sorted({changed(t, rnd.randint(1, 6)) for t in known if len(t) > 6 for _ in range(60)} - set(known))
-    rows = [(i, t, True) for i, t in enumerate(known)] + [(100 + i, t, False) for i, t in enumerate(cores)]
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
-        return row[-1]
-
-    near = lambda a, b: distance(a, b) <= 0.15 * max(len(a), len(b)) + 1e-9
-    want, frontier = set(known), set(known)
-    while frontier:
-        frontier = {c for c in cores if c not in want and any(near(c, f) for f in frontier)}
-        want |= frontier
-    got = residue.spread_labels(spark.createDataFrame(rows, "value_id bigint, core string, trusted boolean"))
-    names = {i: t for i, t, _ in rows}
-    assert {names[r.value_id] for r in got.collect()} == want and len(known) + 60 < len(want) < len(rows)
+    known = ["access denied", "page not found", "service temporarily unavailable", "please enable javascript to view this site", "unbranded", "no brand name"]
+    texts = sorted({_changed(rnd, t, rnd.randint(1, 6)).strip() for t in known for _ in range(80)} - set(known))
+    near = lambda a, b: _distance(a, b) <= 0.15 * max(len(a), len(b)) + 1e-9
+    want = {b for b in texts for a in known if near(a, b)}
+    index = residue.prints(spark.createDataFrame([(t,) for t in texts], "unit string"))
+    asked = residue.prints(spark.createDataFrame([(t,) for t in known], "unit string"))
+    got = {r.unit for r in residue.near_units(asked, index.select("unit", "print", F.explode("keys").alias("key"))).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) > 100
+
+
+def test_planted_changes_and_hidden_phrases_come_back(spark):
+    rnd = random.Random(9)
+    known = [t for t in residue.TRUSTED if len(t) >= 7]
+    planted = [_changed(rnd, t, 1).strip() for t in known]
+    good = ["falnofors", "lumno lund", "robot arm timer", "nonesuch hardware", "7x-641-060 carriage bolt", "epoxy primer"]
+    found = spark.createDataFrame([(t,) for t in planted + good], "t string").select(residue.core(F.col("t")).alias("unit"))
+    got = {r.unit for r in residue.spread_labels(found).collect()}
+    back = [r.unit for r in spark.createDataFrame([(t,) for t in planted], "t string").select(residue.core(F.col("t")).alias("unit")).collect()]
+    assert sum(u in got for u in back) >= 0.9 * len(back) and not set(good) & got
+    # the phrase is hidden and only a misspelt form of it is trusted: the right form comes back
+    half = rnd.sample(known, len(known) // 2)
+    hidden = spark.createDataFrame([(t,) for t in half], "t string").select(residue.core(F.col("t")).alias("unit"))
+    got = {r.unit for r in residue.spread_labels(hidden, [_changed(rnd, t, 1) for t in half]).collect()}
+    assert len(got) >= 0.9 * hidden.distinct().count()
 
 
 def test_edits_against_definition():
@@ -163,10 +176,11 @@ def test_residue(spark):
 
 def test_labels_spread_along_components(spark):
     base = "the service you asked for cannot be reached at this moment please try again in a while or call the desk for help number one"
-    chain = [base, base + " x", base + " xy", base + " xyz"]
-    rows = [(i, c, i == 0) for i, c in enumerate(chain)] + [(9, "a quite different value that nobody would take for the same thing at all", False)]
-    got = {r.value_id for r in residue.spread_labels(spark.createDataFrame(rows, "value_id bigint, core string, trusted boolean")).collect()}
-    assert {0, 1} <= got and 9 not in got
+    chain = [base + " and then some" * i for i in range(4)]
+    found = spark.createDataFrame([(c,) for c in chain] + [("a quite different value that nobody would take for the same thing at all",), ("",)], "unit string")
+    assert _distance(chain[0], chain[2]) > 0.15 * len(chain[2])
+    assert {r.unit for r in residue.spread_labels(found, [base]).collect()} == set(chain)
+    assert residue.spread_labels(found.limit(0)).count() == 0
 
 
 PAGE = """Shop Home
