@@ -6,11 +6,14 @@ array level is exploded into a child table that carries its parent's key and its
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partwright.session import cut
+
 
 def parsed(df: DataFrame, key: str, payload: str) -> DataFrame:
     """``_key`` and ``doc`` VARIANT for each payload that is one whole JSON object or array.
@@ -32,62 +35,126 @@ def merged_schema(docs: DataFrame, column: str = "doc") -> str:
     return (row["s"] if row else None) or ""
 
 
-def paths_to(schema: str, name: str) -> list[str]:
-    """Paths of the fields called ``name`` that no array lies above, shallowest first."""
-    found: list[str] = []
+# Most places a table of payloads may have; more mean that keys are data, which no schema can be inferred from.
+MAX_PLACES = 20_000
+
+
+def places_in(schema: str, above: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """The places of a schema as (JSON array of steps, kind): names, and "[]" for each step into an array; kind is ARRAY, OBJECT, VARIANT (types differ) or VALUE."""
+    found: list[tuple[str, str]] = []
 
-    def walk(text: str, at: int, path: str, inside: bool) -> int:
-        if text.startswith("OBJECT<", at):
+    def walk(at: int, path: tuple[str, ...]) -> int:
+        kind = "OBJECT" if schema.startswith("OBJECT<", at) else "ARRAY" if schema.startswith("ARRAY<", at) else "VARIANT" if schema.startswith("VARIANT", at) else "VALUE"
+        if path:
+            found.append((json.dumps(path), kind))
+        if kind == "OBJECT":
             at += 7
-            while text[at] != ">":
-                if text[at] == "`":
-                    end = text.index("`: ", at + 1)
-                    label, at = text[at + 1 : end], end + 3
+            while schema[at] != ">":
+                if schema[at] == "`":
+                    end = schema.index("`: ", at + 1)
+                    label, at = schema[at + 1 : end].replace("``", "`"), end + 3
                 else:
-                    end = text.index(": ", at)
-                    label, at = text[at:end], end + 2
-                here = f"{path}.{label}" if label.isidentifier() else f"{path}['{label}']"
-                if label == name and not inside:
-                    found.append(here)
-                at = walk(text, at, here, inside)
-                if text.startswith(", ", at):
+                    end = schema.index(": ", at)
+                    label, at = schema[at:end], end + 2
+                at = walk(at, (*path, label))
+                if schema.startswith(", ", at):
                     at += 2
             return at + 1
-        if text.startswith("ARRAY<", at):
-            return walk(text, at + 6, path + "[]", True) + 1
-        while at < len(text) and text[at] not in ",>":
-            if text[at] == "(":
-                at = text.index(")", at)
+        if kind == "ARRAY":
+            return walk(at + 6, (*path, "[]")) + 1
+        while at < len(schema) and schema[at] not in ",>":
+            if schema[at] == "(":
+                at = schema.index(")", at)
             at += 1
         return at
 
-    walk(schema, 0, "$", False)
-    return sorted(found, key=lambda p: (p.count("."), p))
+    if schema:
+        walk(0, above)
+    return found
 
 
-def record_places(docs: DataFrame, record: str, column: str = "doc") -> list[str]:
-    """The places of ``record`` over all documents, shallowest first.
-
-    Every document's own schema is searched and the places are merged, so that files that differ in
-    shape (where a merged type falls back to VARIANT) still show theirs.
-    """
+def _places_of(nodes: DataFrame, column: str, above: tuple[str, ...]) -> set[tuple[str, str]]:
+    """The distinct (steps, kind) over the nodes' own schemas."""
 
     def run(batches):
         import pandas as pd
 
-        known: dict[str, list[str]] = {}
+        sent: set[tuple[str, str]] = set()
         for pdf in batches:
-            found = set()
-            for schema in pdf["s"]:
-                if schema not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[schema] = paths_to(schema, record)
-                found.update(known[schema])
-            yield pd.DataFrame({"place": sorted(found)}, dtype="object")
+            new = {x for schema in set(pdf["s"]) for x in places_in(schema, above)} - sent
+            if len(sent) <= MAX_PLACES:
+                sent |= new
+            yield pd.DataFrame(sorted(new), columns=["steps", "kind"], dtype="object")
+
+    found = cut(nodes.select(F.schema_of_variant(column).alias("s")).mapInPandas(run, "steps string, kind string").distinct())
+    n = found.count()
+    if n > MAX_PLACES:
+        raise ValueError(f"{n} places in the payloads: keys are data")
+    return {(r["steps"], r["kind"]) for r in found.collect()}
+
+
+def places(docs: DataFrame, record: str, asked: dict[str, Table] | None = None, column: str = "doc") -> list[tuple[tuple[str, ...], str]]:
+    """The merged schema of all documents as the distinct (steps, kind), shallowest first.
+
+    Every document's own schema is read and the places are merged, so that files that differ in shape still
+    show theirs.  Where the elements of one document differ (VARIANT) each element's own schema is read, for
+    places above the records and, if some tables are asked for, those that can lead to them.  Places are as
+    many as the format has fields; beyond MAX_PLACES keys are data and an error says so.
+    """
+    found = _places_of(docs, column, ())
+    wanted = [tuple(k.split(".")) for k in asked] if asked else None
+    done: set[str] = set()
+    while True:
+        todo = []
+        for at, kind in sorted(found):
+            steps = tuple(json.loads(at))
+            below = _names(steps[steps.index(record) + 1 :]) if record in steps else ()
+            if kind == "VARIANT" and at not in done and (wanted is None or any(w[: len(below)] == below for w in wanted)):
+                todo.append((at, steps))
+        if not todo:
+            return sorted(((tuple(json.loads(at)), kind) for at, kind in found), key=lambda p: (len(p[0]), p))
+        for at, steps in todo:
+            done.add(at)
+            found |= _places_of(docs.select(F.explode(nodes_at(F.col(column), steps)).alias("node")), "node", steps)
+
+
+def record_places(found: list[tuple[tuple[str, ...], str]], record: str) -> list[tuple[str, ...]]:
+    """The steps that lead to fields called ``record`` outside other records, shallowest first, arrays above them included."""
+    out = [steps for steps, _ in found if steps[-1] == record and record not in steps[:-1]]
+    return list(dict.fromkeys(out))
+
+
+def _names(steps: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(s for s in steps if s != "[]")
+
+
+def list_places(found: list[tuple[tuple[str, ...], str]], record: str) -> list[tuple[str, ...]]:
+    """The names that lead from a record to each of its lists: places that are an array in at least one document."""
+    out = set()
+    for steps, kind in found:
+        if record in steps and kind == "ARRAY":
+            below = _names(steps[steps.index(record) + 1 :])
+            if below:
+                out.add(below)
+    return sorted(out)
+
+
+def _path(names: tuple[str, ...]) -> str:
+    return "$" + "".join(f".{n}" if n.isidentifier() else "['" + n.replace("'", "\\'") + "']" for n in names)
+
 
-    rows = docs.select(F.schema_of_variant(column).alias("s")).mapInPandas(run, "place string").distinct().collect()
-    return sorted((r["place"] for r in rows), key=lambda p: (p.count("."), p))
+def nodes_at(node: Column, steps: tuple[str, ...]) -> Column:
+    """The nodes that the steps lead to, through the elements of every array on the way."""
+    if "[]" not in steps:
+        return F.array_compact(F.array(F.try_variant_get(node, _path(steps), "variant") if steps else node))
+    at = steps.index("[]")
+    above = F.try_variant_get(node, _path(steps[:at]), "variant") if at else node
+    return F.flatten(F.transform(elements(above), lambda x: nodes_at(x, steps[at + 1 :])))
+
+
+def gathered(node: Column, steps: tuple[str, ...]) -> Column:
+    """All elements of the lists that the steps lead to."""
+    return F.flatten(F.transform(nodes_at(node, steps), elements))
 
 
 def text_of(node: Column) -> Column:
@@ -111,11 +178,6 @@ def elements(node: Column) -> Column:
     )
 
 
-def first_of(node: Column, *paths: str) -> Column:
-    """The first non-null of several places."""
-    return F.coalesce(*[F.try_variant_get(node, p, "variant") for p in paths])
-
-
 def single(node: Column) -> Column:
     """A part that should be one object: the object itself, unwrapped from text or from a list."""
     return F.try_element_at(elements(node), F.lit(1))
@@ -131,84 +193,119 @@ def named_value(node: Column, name: str) -> Column:
 
 
 @dataclass(frozen=True)
-class Level:
-    """One child table: the place of its list in the parent, the place of its value, and its own children.
+class Table:
+    """What is asked of one place below a record: the table's name and the field its value is taken from.
 
-    ``value`` '' takes a scalar element itself; ``single`` tables hold one row per parent; ``pairs``
-    also reads the value from a list of name-value pairs.
+    ``single`` tables hold one row per parent; ``pairs`` also reads the value from a list of name-value pairs.
     """
 
-    table: str
-    place: str
+    name: str
     value: str
     single: bool = False
     pairs: bool = False
-    scalar: bool = False
+
+
+@dataclass(frozen=True)
+class Level:
+    """One child table as inferred: the names from the parent's element to its list, and the levels below."""
+
+    steps: tuple[str, ...]
+    below: tuple[str, ...]
+    table: Table | None
     children: tuple[Level, ...] = field(default_factory=tuple)
 
 
-def _value(level: Level, node: Column) -> Column:
-    got = F.try_variant_get(node, f"$.{level.value}", "string")
-    if level.scalar:
-        got = F.coalesce(got, F.when(F.schema_of_variant(node).eqNullSafe("STRING"), text_of(node)))
-    return got
+def levels_of(lists: list[tuple[str, ...]], asked: dict[str, Table] | None) -> tuple[Level, ...]:
+    """The tree of levels: every list hangs from the longest list above it.  With ``asked`` only those and what leads to them are kept."""
+    every = sorted(set(lists) | ({tuple(k.split(".")) for k, t in asked.items() if t.single} if asked else set()))
+    above = {p: max((q for q in every if q != p and p[: len(q)] == q), key=len, default=()) for p in every}
+
+    def build(parent: tuple[str, ...]) -> tuple[Level, ...]:
+        out = []
+        for p in every:
+            if above[p] == parent:
+                table = asked.get(".".join(p)) if asked else Table(".".join(p), "")
+                children = build(p)
+                if table or children:
+                    out.append(Level(p, p[len(parent) :], table, children))
+        return tuple(out)
+
+    return build(())
+
+
+def _value(table: Table, node: Column) -> Column:
+    if not table.value:
+        return F.when(~F.is_variant_null(node), F.coalesce(F.when(~F.schema_of_variant(node).rlike("^(OBJECT|ARRAY)"), text_of(node)), F.to_json(node)))
+    return F.coalesce(F.try_variant_get(node, _path((table.value,)), "string"), F.when(F.schema_of_variant(node).eqNullSafe("STRING"), text_of(node)))
 
 
-def _rows(level: Level, node: Column, parent_no: Column) -> Column:
-    """All rows of a level below a node, as an array of structs, its children's after each element."""
-    place = F.try_variant_get(node, f"$.{level.place}", "variant")
+def _rows(level: Level, node: Column, way: Column) -> Column:
+    """All rows of a level below a node, as an array of structs, its children's after each element; ``way`` holds the ordinals above."""
+    place = F.try_variant_get(node, _path(level.below), "variant")
+    empty = F.array().cast("array<struct<child_table:string,ordinals:array<int>,child_value:string>>")
 
     def one(value: Column, no: Column) -> Column:
-        return F.struct(F.lit(level.table).alias("child_table"), parent_no.alias("parent_no"), no.alias("child_no"), value.alias("child_value"))
+        return F.array(F.struct(F.lit(level.table.name).alias("child_table"), F.concat(way, F.array(no)).alias("ordinals"), value.alias("child_value")))
 
-    if level.single:
-        value = named_value(place, level.value) if level.pairs else _value(level, single(place))
-        return F.array(one(value, F.lit(1)))
+    if level.table and level.table.single:
+        value = named_value(place, level.table.value) if level.table.pairs else F.try_variant_get(single(place), _path((level.table.value,)), "string")
+        return one(value, F.lit(1))
 
     def each(x: Column, i: Column) -> Column:
         no = (i + 1).cast("int")
-        own = F.array(one(_value(level, x), no))
-        return F.concat(own, *[_rows(c, x, no) for c in level.children]) if level.children else own
+        own = one(_value(level.table, x), no) if level.table else empty
+        return F.concat(own, *[_rows(c, x, F.concat(way, F.array(no))) for c in level.children]) if level.children else own
 
     return F.flatten(F.transform(elements(place), each))
 
 
-def flatten_records(df: DataFrame, key: str, payload: str, record: str, levels: tuple[Level, ...]) -> DataFrame:
-    """The child tables of all ``record`` elements of all payloads, stacked: key, ``record_no``, ``child_table``, ``parent_no``, ``child_no``, ``child_value``.
+def flatten_records(df: DataFrame, key: str, payload: str, record: str, asked: dict[str, Table] | None = None) -> DataFrame:
+    """The child tables of all ``record`` elements of all payloads, stacked: key, ``record_no``, ``child_table``, ``ordinals``, ``child_value``.
 
-    The places of ``record`` are inferred from the whole table.  ``parent_no`` is 0 below
-    a record and the parent's ordinal deeper down, so (key, record_no, parent_no, child_no) links each
-    row to its parent.  Null, broken or incomplete payloads and null or missing values give no row,
-    repeated payloads give their rows under each key, extra columns are ignored, and a table without
-    any whole payload gives an empty result.
+    The schema is merged from all documents: it gives the places of the records, below objects and arrays
+    alike, and every list below a record with the list it hangs from.  ``asked`` (place below the record,
+    names joined by points -> Table) picks and names tables; without it each list is a table under its
+    place, elements that are objects as JSON.  ``ordinals`` is the full path of positions from 1, so
+    (key, record_no, ordinals) identifies a row and without its last member the parent.  Null, broken or
+    incomplete payloads and null or missing values give no row, repeated payloads give their rows under
+    each key, extra columns are ignored, and a table without any whole payload gives an empty result.
     """
     docs = parsed(df, key, payload)
-    places = record_places(docs, record) or [f"$.{record}"]
-    records = docs.select("_key", F.posexplode(elements(first_of(F.col("doc"), *places))).alias("_at", "rec"))
-    rows = F.concat(*[_rows(level, F.col("rec"), F.lit(0)) for level in levels])
-    kept = F.filter(rows, lambda r: r["child_value"].isNotNull())
-    return records.select(F.col("_key").alias(key), (F.col("_at") + 1).cast("int").alias("record_no"), F.inline(kept))
+    found = places(docs, record, asked)
+    at = record_places(found, record) or [(record,)]
+    tries = [gathered(F.col("doc"), steps) for steps in at]
+    records = F.coalesce(*[F.when(F.size(t) > 0, t) for t in tries])
+    rows = docs.select("_key", F.posexplode(records).alias("_at", "rec"))
+    levels = levels_of(list_places(found, record), asked)
+    if not levels:
+        return rows.select(F.col("_key").alias(key), F.lit(1).alias("record_no"), F.lit("").alias("child_table"), F.array().cast("array<int>").alias("ordinals"), F.lit("").alias("child_value")).filter("false")
+    kept = F.filter(F.concat(*[_rows(level, F.col("rec"), F.array().cast("array<int>")) for level in levels]), lambda r: r["child_value"].isNotNull())
+    return rows.select(F.col("_key").alias(key), (F.col("_at") + 1).cast("int").alias("record_no"), F.inline(kept))
 
 
 def child_table(flat: DataFrame, key: str, table: str) -> DataFrame:
     """One flat table of the stack with surrogate keys: ``row_key`` for the row, ``parent_key`` for its parent."""
-    parent = F.when(F.col("parent_no") == 0, F.concat_ws("/", F.col(key), F.col("record_no"))).otherwise(
-        F.concat_ws("/", F.col(key), F.col("record_no"), F.col("parent_no"))
-    )
-    return flat.filter(F.col("child_table") == table).select(
-        key, "record_no", F.concat_ws("/", parent, F.col("child_no")).alias("row_key"), parent.alias("parent_key"), "child_no", F.col("child_value").alias("value")
-    )
+    return linked(flat.filter(F.col("child_table") == table), key).select(key, "record_no", "row_key", "parent_key", "child_no", F.col("child_value").alias("value"))
+
+
+def linked(flat: DataFrame, key: str) -> DataFrame:
+    """The stack with ``row_key`` and ``parent_key`` of every row, made of the key, the record and all ordinals on the way."""
+    way = lambda ordinals: F.concat_ws("/", F.col(key), F.col("record_no"), F.array_join(F.transform(ordinals, lambda x: x.cast("string")), "/"))
+    o = F.col("ordinals")
+    above = F.slice(o, F.lit(1), F.size(o) - 1)
+    parent = F.when(F.size(o) > 1, way(above)).otherwise(F.concat_ws("/", F.col(key), F.col("record_no")))
+    return flat.select(key, "record_no", "child_table", way(o).alias("row_key"), parent.alias("parent_key"), F.element_at(o, -1).alias("child_no"), "child_value")
 
 
-# The tables of an execution trace: phases, brand fields, domain candidates, documents and chunks.
-TRACE_LEVELS = (
-    Level("phase4", "phase4", "status", single=True),
-    Level("brand", "input_brand_fields", "Unilog_Brand", single=True, pairs=True),
-    Level("domain_candidate", "phase5.domain_candidates", "domain", scalar=True),
-    Level("document", "phase5.documents", "document_id", scalar=True, children=(Level("chunk", "chunks", "chunk_id", scalar=True),)),
-)
+# The tables of an execution trace: where they lie, what they are called, and the field their value is taken from.
+TRACE_TABLES = {
+    "phase4": Table("phase4", "status", single=True), "input_brand_fields": Table("brand", "Unilog_Brand", single=True, pairs=True),
+    "phase5.domain_candidates": Table("domain_candidate", "domain"), "phase5.documents": Table("document", "document_id"), "phase5.documents.chunks": Table("chunk", "chunk_id"),
+}
 
 
 def flatten_traces(df: DataFrame) -> DataFrame:
-    """The trace tables of ``trace_runs`` with ``trace_no`` as the record's position."""
-    return flatten_records(df, "run_id", "payload", "traces", TRACE_LEVELS).withColumnRenamed("record_no", "trace_no")
+    """The trace tables of ``trace_runs`` with ``trace_no`` as the record's position and ``parent_no`` of a chunk's document, else 0."""
+    flat = flatten_records(df, "run_id", "payload", "traces", TRACE_TABLES).withColumnRenamed("record_no", "trace_no")
+    o = F.col("ordinals")
+    return flat.withColumn("child_no", F.element_at(o, -1)).withColumn("parent_no", F.when(F.size(o) > 1, F.try_element_at(o, F.lit(-2))).otherwise(0))

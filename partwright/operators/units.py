@@ -1,9 +1,10 @@
 """Quantities recorded in different units.
 
 Two operators.  ``measured_values`` reads the numbers and units out of text attributes, takes
-candidate units from the text itself or from the record's note, and settles what is still open
-(which reading of a number, whether a second number restates the first) by the physical identity
-between the readings: the combination with the smallest log residual holds, a tie is flagged.
+candidate units from the text itself or from the record's note, and keeps every reading of a number.
+What is open is settled by identities, the reading with the smallest log residual holds: between the two
+statements of one quantity in a text, between the records of one product, and between a value and the
+typical size of the quantity in its source.  Where two readings come as close, the value is flagged.
 ``resolve_source_units`` does the same for numeric columns of whole sources, where columns are tied
 by products such as mass = density x volume.
 """
@@ -17,9 +18,11 @@ from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partwright.session import broadcast_if_small, cut, join_values
+
 # The size of each unit in the common unit of its quantity.
 LENGTH = {
     "mm": 1_000_000, "cm": 10_000_000, "m": 1_000_000_000, "um": 1_000, "in": 25_400_000, "ft": 304_800_000, "mil": 25_400,
@@ -65,6 +68,8 @@ _VULGAR = {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅛": "1/8", "⅜": "3/8", "
 QUANTITIES = {"Feed Speed": ("feed", FEED, FEED_WRITTEN), "No Load Speed": ("rotation", ROTATION, ROTATION_WRITTEN), "Diameter": ("length", LENGTH, LENGTH_WRITTEN), "Thickness": ("length", LENGTH, LENGTH_WRITTEN)}
 # A restated value may differ by the rounding of both readings and by this share more.
 RESTATE_TOLERANCE = 0.01
+# A reading holds when its log residual lies this much below the next one's; sources with fewer settled values than MIN_SETTLED are measured by all sources.
+MARGIN, MIN_SETTLED = math.log(3), 20
 
 _WORD_RX = "|".join(_WORDS)
 _PART_RX = "|".join(sorted(_PART, key=len, reverse=True))
@@ -176,11 +181,11 @@ def _clean(text: str) -> str:
     return low.replace("−", "-").replace("⁄", "/").replace("‐", "-").replace("‑", "-")
 
 
-def read_value(attribute: str, text: str | None, unit_hint: str | None) -> list[tuple[int, int, bool]]:
-    """The measured values of one attribute text: (number, value in the common unit, unique).
+def read_value(attribute: str, text: str | None, unit_hint: str | None) -> list[tuple[int, list[int]]]:
+    """The measured values of one attribute text: (number, its readings in the common unit).
 
-    ``unit_hint`` is the unit that the record states elsewhere.  A value whose readings tie is given
-    with ``unique`` false.
+    ``unit_hint`` is the unit that the record states elsewhere.  Where a second statement of the same
+    quantity stands beside it, only the readings that agree with it within rounding are left.
     """
     if not text or not text.strip() or attribute not in QUANTITIES:
         return []
@@ -227,7 +232,7 @@ def read_value(attribute: str, text: str | None, unit_hint: str | None) -> list[
     for x in items:
         x["use"] = x["use"] or unit_hint
     items = [x for x in items if x["use"]]
-    out: list[tuple[Fraction, bool]] = []
+    out: list[list[Fraction]] = []
     k = 0
     while k < len(items):
         x = items[k]
@@ -241,44 +246,76 @@ def read_value(attribute: str, text: str | None, unit_hint: str | None) -> list[
             )
             limit = math.log1p(x["slack"] + nxt["slack"]) + RESTATE_TOLERANCE
             if options and options[0][0] <= limit:
-                rivals = [o for o in options[1:] if o[2] != options[0][2] and o[0] <= limit]
-                out.append((options[0][2] * factors[x["use"]], not rivals))
+                out.append([a * factors[x["use"]] for off, _, a in options if off <= limit])
                 k += 2
                 continue
-        out.append((x["values"][0] * factors[x["use"]], True))
+        out.append([v * factors[x["use"]] for v in x["values"]])
         k += 1
-    return [(n, int(v + Fraction(1, 2)), unique) for n, (v, unique) in enumerate(out, 1)]
+    return [(n, list(dict.fromkeys(int(v + Fraction(1, 2)) for v in vs))) for n, vs in enumerate(out, 1)]
 
 
-def _read_batches(attribute_names: list[str]):
-    def run(batches):
-        cached = lru_cache(maxsize=100_000)(read_value)
-        units = lru_cache(maxsize=100_000)(note_units)
-        for pdf in batches:
-            keys, names, nos, values, flags = [], [], [], [], []
-            for key, name, text, note in zip(pdf["_key"], pdf["_name"], pdf["_text"], pdf["_note"]):
-                hint = units(note).get(QUANTITIES[name][0]) if note is not None else None
-                for no, value, unique in cached(name, text, hint):
-                    keys.append(key), names.append(name), nos.append(no), values.append(value), flags.append(unique)
-            yield pd.DataFrame({"_key": pd.Series(keys, dtype="int64"), "attribute_name": pd.Series(names, dtype="object"), "value_no": pd.Series(nos, dtype="int32"), "common_value": pd.Series(values, dtype="int64"), "unique_solution": pd.Series(flags, dtype="bool")})
+def _read_batches(batches):
+    units = lru_cache(maxsize=100_000)(note_units)
+    for pdf in batches:
+        hints = [units(note).get(QUANTITIES[name][0]) if note else None for name, note in zip(pdf["_name"], pdf["_note"])]
+        found = [read_value(name, text, hint) for name, text, hint in zip(pdf["_name"], pdf["_text"], hints)]
+        yield pdf.assign(_values=[[{"value_no": n, "readings": r} for n, r in values] for values in found])
 
-    return run
 
+def _log(c: Column) -> Column:
+    return F.ln(F.greatest(c, F.lit(1)).cast("double"))
 
-def measured_values(df: DataFrame, key: str, attributes: str, note: str) -> DataFrame:
+
+def settled_readings(read: DataFrame, key: str, source: str, product: str) -> DataFrame:
+    """The rows with ``common_value`` and ``unique_solution``: the reading with the least log residual.
+
+    Read once for each distinct set of readings of a product: the residual is 0 where another record
+    of the product has just one of them as its only reading, else the distance in logs from the mean of
+    the settled values of the attribute in the source.  Where the next reading is not worse by MARGIN,
+    or nothing is settled to compare with, the solution is not unique.
+    """
+    same, group = ["attribute_name", "value_no"], ["attribute_name", "value_no", "readings", "_of", "_from"]
+    named = read.select(key, *same, "readings", F.coalesce(F.col(product), F.lit("")).alias("_of"), F.coalesce(F.col(source), F.lit("")).alias("_from"))
+    sure = named.filter(F.size("readings") == 1).withColumn("v", F.col("readings")[0])
+    still = named.filter(F.size("readings") > 1)
+    sizes = cut(sure.filter("v > 0").groupBy("attribute_name", "_from").agg(F.sum(_log(F.col("v"))).alias("_l"), F.count(F.lit(1)).alias("_n")))
+    every = sizes.groupBy("attribute_name").agg((F.sum("_l") / F.sum("_n")).alias("_all"))
+    own = sizes.filter(F.col("_n") >= MIN_SETTLED).select("attribute_name", "_from", (F.col("_l") / F.col("_n")).alias("_own"))
+    asked = cut(still.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")))
+    wanted = asked.filter("_of != ''").select("_of", *same).distinct()
+    known = sure.join(broadcast_if_small(wanted, wanted.count()), ["_of", *same], "left_semi").groupBy("_of", *same).agg(F.collect_set("v").alias("_known"))
+    asked = asked.join(known, ["_of", *same], "left").join(F.broadcast(every), "attribute_name", "left").join(broadcast_if_small(own, own.count()), ["attribute_name", "_from"], "left")
+    told = F.coalesce("_known", F.array().cast("array<bigint>"))
+    repeats = F.size(F.array_intersect("readings", told)) == 1
+    apart = lambda v: F.coalesce(F.abs(_log(v) - F.coalesce("_own", "_all")), F.lit(0.0))
+    residual = lambda v: F.when(repeats & F.array_contains(told, v), F.lit(0.0)).otherwise(apart(v) + F.when(repeats, F.lit(MARGIN)).otherwise(F.lit(0.0)))
+    scored = asked.withColumn("_r", F.array_sort(F.transform("readings", lambda v, i: F.struct(residual(v).alias("off"), i.alias("at"), v.alias("v")))))
+    chosen = cut(scored.select(*group, "_rows", F.col("_r")[0]["v"].alias("common_value"), (F.col("_r")[1]["off"] - F.col("_r")[0]["off"] >= MARGIN).alias("unique_solution")))
+    total = chosen.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("t")).first()["t"]
+    done = join_values(still, chosen, group, "_rows", total).select(key, *same, "common_value", "unique_solution")
+    return sure.select(key, *same, F.col("v").alias("common_value"), F.lit(True).alias("unique_solution")).unionByName(done)
+
+
+def measured_values(df: DataFrame, key: str, attributes: str, note: str, source: str, product: str) -> DataFrame:
     """One row per measured value: key, ``attribute_name``, ``value_no``, ``common_value``, ``unique_solution``.
 
-    ``attributes`` is a map of texts, ``note`` a text that may state units.  Null maps, null and blank
-    texts, words without a number, other kinds of quantity and numbers whose unit the record states
-    nowhere give no row; repeated records give their rows under each key; an empty table gives an
-    empty result.  Only the four attributes and the note reach Python, one Arrow batch at a time.
+    ``attributes`` is a map of texts, ``note`` a text that may state units, ``source`` and ``product`` say
+    which records share their habits and which describe one thing.  Null maps, null and blank texts, words
+    without a number, other kinds of quantity and numbers whose unit the record states nowhere give no
+    row; repeated records give their rows under each key; an empty table gives an empty result.  Distinct
+    texts (with their note) are read in Python once, one Arrow batch at a time; the readings go back to
+    the records by a join that keeps common texts out of one task.
     """
     names = list(QUANTITIES)
-    wide = df.select(F.col(key).cast("bigint").alias("_key"), F.col(note).alias("_note"), *[F.try_element_at(F.col(attributes), F.lit(n)).alias(n) for n in names])
-    long = wide.select("_key", "_note", F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(f"`{n}`").alias("_text")) for n in names])))
-    long = long.filter(F.trim("_text") != "").select("_key", "_name", "_text", "_note")
-    out = long.mapInPandas(_read_batches(names), "_key bigint, attribute_name string, value_no int, common_value bigint, unique_solution boolean")
-    return out.withColumnRenamed("_key", key)
+    note_of = F.coalesce(F.col(note), F.lit(""))
+    wide = df.select(F.col(key).cast("bigint").alias("_key"), note_of.alias("_note"), F.col(source).alias("_source"), F.col(product).alias("_product"), *[F.try_element_at(F.col(attributes), F.lit(n)).alias(n) for n in names])
+    long = wide.select("_key", "_note", "_source", "_product", F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(f"`{n}`").alias("_text")) for n in names])))
+    long = long.filter((F.trim("_text") != "") & F.col("_text").rlike(r"[0-9½¼¾⅛⅜⅝⅞⅓⅔⅙⅚⅕⅖⅗⅘]|(?i)one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|teen|half|third|quarter|halves"))
+    texts = long.groupBy("_name", "_text", "_note").agg(F.count(F.lit(1)).alias("_rows"))
+    got = cut(texts.mapInPandas(_read_batches, "_name string, _text string, _note string, _rows bigint, _values array<struct<value_no:int,readings:array<bigint>>>"))
+    total = got.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("t")).first()["t"]
+    read = join_values(long, got, ["_name", "_text", "_note"], "_rows", total).select("_key", "_source", "_product", F.col("_name").alias("attribute_name"), F.inline("_values"))
+    return settled_readings(cut(read), "_key", "_source", "_product").withColumnRenamed("_key", key)
 
 
 def resolve_source_units(df: DataFrame, source: str, columns: dict[str, dict[str, float]], identities: list[dict[str, float]], tolerance: float = 0.02) -> DataFrame:

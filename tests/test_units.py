@@ -17,7 +17,7 @@ CASES = [
 
 @pytest.mark.parametrize("name,text,hint,expected", CASES)
 def test_values(name, text, hint, expected):
-    assert [v for _, v, _ in units.read_value(name, text, hint)] == expected
+    assert [r[0] for _, r in units.read_value(name, text, hint)] == expected
 
 
 def test_notes():
@@ -30,20 +30,40 @@ def test_notes():
 @given(st.text(max_size=40))
 def test_any_text_is_read(text):
     for name in units.QUANTITIES:
-        assert [n for n, _, _ in units.read_value(name, text, "mm" if name in ("Diameter", "Thickness") else None)] == list(range(1, 1 + len(units.read_value(name, text, "mm" if name in ("Diameter", "Thickness") else None))))
+        assert [n for n, _ in units.read_value(name, text, "mm" if name in ("Diameter", "Thickness") else None)] == list(range(1, 1 + len(units.read_value(name, text, "mm" if name in ("Diameter", "Thickness") else None))))
 
 
 @given(st.integers(1, 99999), st.sampled_from(["mm", "in", "cm"]))
 def test_round_trip(n, unit):
-    assert units.read_value("Diameter", f"{n / 100:.2f} {unit}", None)[0][1] == n * units.LENGTH[unit] // 100
+    assert units.read_value("Diameter", f"{n / 100:.2f} {unit}", None)[0][1][0] == n * units.LENGTH[unit] // 100
+
+
+ARGS = ("record_id", "expected_attributes", "spec_note", "source_feed", "product_id")
+SCHEMA = "record_id bigint, expected_attributes map<string,string>, spec_note string, source_feed string, product_id string, common_value int"
 
 
 def test_measured_values_edges(spark):
-    rows = [(1, {"Diameter": "5 mm"}, None, 9), (2, None, "sizes: mm", 9), (3, {"Diameter": None, "Thickness": " "}, None, 9), (4, {"Diameter": "7"}, "sizes: cm", 9), (5, {"Diameter": "7"}, "sizes: cm", 9)]
-    schema = "record_id bigint, expected_attributes map<string,string>, spec_note string, common_value int"
-    got = units.measured_values(spark.createDataFrame(rows, schema), "record_id", "expected_attributes", "spec_note").collect()
+    rows = [(1, {"Diameter": "5 mm"}, None), (2, None, "sizes: mm"), (3, {"Diameter": None, "Thickness": " "}, None), (4, {"Diameter": "7"}, "sizes: cm"), (5, {"Diameter": "7"}, "sizes: cm")]
+    got = units.measured_values(spark.createDataFrame([(*r, "f", None, 9) for r in rows], SCHEMA), *ARGS).collect()
     assert sorted((r.record_id, r.common_value) for r in got) == [(1, 5000000), (4, 70000000), (5, 70000000)]
-    assert units.measured_values(spark.createDataFrame([], schema), "record_id", "expected_attributes", "spec_note").count() == 0
+    assert units.measured_values(spark.createDataFrame([], SCHEMA), *ARGS).count() == 0
+
+
+def test_open_readings_are_settled_by_identities(spark):
+    rows = [(i, {"No Load Speed": f"{900 + 10 * i} rpm"}, "f", f"p{i}") for i in range(30)]
+    rows += [(100, {"No Load Speed": "1.250 rpm"}, "f", "q"), (101, {"Thickness": "2,870 micrometers"}, "f", "q"), (102, {"Diameter": "1.250 m / 49.21 in"}, "f", "q")]
+    rows += [(103, {"Feed Speed": "1.524 m/min"}, "f", "r"), (104, {"Feed Speed": "1524 m/min"}, "g", "r"), (105, {"Feed Speed": "1.524 m/min"}, "f", "s")]
+    got = {(r.record_id, r.attribute_name): (r.common_value, r.unique_solution) for r in units.measured_values(spark.createDataFrame([(i, a, None, f, p, 0) for i, a, f, p in rows], SCHEMA), *ARGS).collect()}
+    assert got[(100, "No Load Speed")] == (1250, True)  # its source's other speeds are of that size
+    assert not got[(101, "Thickness")][1]  # two readings and nothing to compare them with
+    assert got[(102, "Diameter")] == (1_250_000_000, True)  # restated in a second unit
+    assert got[(103, "Feed Speed")] == (1_524_000_000, True)  # another record of the product says so
+
+
+def test_readings_that_tie(spark):
+    rows = [(i, {"Thickness": "31.6227766 mm"}, None, "f", f"p{i}", 0) for i in range(30)] + [(99, {"Thickness": "1,000 mm"}, None, "f", "q", 0)]
+    got = {r.record_id: r.unique_solution for r in units.measured_values(spark.createDataFrame(rows, SCHEMA), *ARGS).collect()}
+    assert not got[99] and all(got[i] for i in range(30))
 
 
 def test_source_units_by_identity(spark):
