@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwright.session import broadcast_if_small, cut, join_values
+from partwright.session import broadcast_if_small, cut, join_values, spread
 
 # Similarity from which units are linked: 1 - edits / length of the longer unit.
 MIN_SIMILARITY = 0.85
@@ -148,14 +148,15 @@ def spread_labels(found: DataFrame, trusted: list[str] | None = None, labelled:
     seeds = spark.createDataFrame([(t,) for t in (TRUSTED if trusted is None else trusted)], "text string").select(core(F.col("text")).alias("unit"))
     if labelled is not None:
         seeds = seeds.unionByName(labelled.select("unit"))
-    index = cut(prints(found.filter("unit != ''").select("unit").distinct()))
+    known = cut(found.filter("unit != ''").select("unit").distinct())
+    index = cut(prints(spread(known, known.count())))
     tables = index.select("unit", "print", F.explode("keys").alias("key"))
     frontier = cut(prints(seeds.filter("unit != ''").distinct()))
     rounds: list[DataFrame] = []
     while frontier.count():
         new = near_units(frontier, tables).select("unit")
-        for known in rounds:
-            new = new.join(known, "unit", "left_anti")
+        for r in rounds:
+            new = new.join(r, "unit", "left_anti")
         fresh = cut(new)
         rounds.append(fresh)
         frontier = cut(index.join(broadcast_if_small(fresh, fresh.count()), "unit", "left_semi"))

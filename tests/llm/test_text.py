@@ -213,21 +213,44 @@ def test_main_body(spark):
     assert mainbody.main_lines(df.limit(0), "context_id", "page_text", "url", "page_title").count() == 0
 
 
+def test_hidden_patterns_are_learned_from_the_rest(spark, data):
+    t = spark.read.parquet(f"{data}/../sf0.01/source_context.parquet")
+    args = ("context_id", "page_text", "canonical_product_url", "page_title")
+    whole = mainbody.fit(t, *args)
+    sample = [(r["_masked"], r["_hashes"], mainbody.title_of(r["_title"], r["_site"])) for r in mainbody.read_pages(t, *args[1:]).collect()]
+    met = sorted({(x, h) for m, hs, _ in sample for x, h in zip(m, hs) if x and mainbody.pattern_of(x, 0.0)})
+    hidden = frozenset(x for x, _ in random.Random(3).sample(met, len(met) // 2))
+    part = mainbody.train(sample, whole.shares, hidden)
+    same = n = 0
+    for m, hs, title in sample:
+        a, b = whole.nodes(m, hs, title), part.nodes(m, hs, title)
+        for node, p, q in zip(a, mainbody.marginals(a, whole.edge), mainbody.marginals(b, part.edge)):
+            if node["text"] in hidden:
+                n, same = n + 1, same + ((p > 0.5) == (q > 0.5))
+    assert n > 100 and same / n >= 0.8
+
+
+def test_masked_lines_in_both_places(spark):
+    text = "Shop7 Home\n\n  Nail Gun, 1/2 in \nShop7: 44 pieces\tleft"
+    got = spark.createDataFrame([(text, "https://www.shop7.example/x", "t")], "text string, url string, t string")
+    got = mainbody.read_pages(got, "text", "url", "t").first()
+    assert got["_site"] == "shop7" and got["_masked"] == [mainbody.mask(x, "shop7") for x in text.split("\n")]
+
+
 def test_marginals_by_enumeration():
-    model = {"unary": {"a": 0.7, "b": -1.1, "c": 0.3}, "edge": {f"h|{p}|{s}": np.log(w) for (p, s), w in {(0, 0): 0.8, (0, 1): 0.2, (1, 0): 0.3, (1, 1): 0.7}.items()}, "prior": -0.2}
-    nodes = [{"kind": "h", "parent": -1, "features": ["a"]}, {"kind": "h", "parent": 0, "features": ["b"]}, {"kind": "x", "parent": 1, "features": ["c"]}, {"kind": "x", "parent": 0, "features": []}]
+    edges = {f"h|{p}|{s}": w for (p, s), w in {(0, 0): 0.8, (0, 1): 0.2, (1, 0): 0.3, (1, 1): 0.7}.items()}
+    nodes = [{"role": "h", "parent": -1, "score": 0.5}, {"role": "h", "parent": 0, "score": -1.3}, {"role": "x", "parent": 1, "score": 0.1}, {"role": "x", "parent": 0, "score": -0.2}, {"role": "x", "parent": -1, "score": 0.9}]
     weight = {}
-    for bits in np.ndindex(2, 2, 2, 2):
+    for bits in np.ndindex(2, 2, 2, 2, 2):
         w = 1.0
         for n, s in zip(nodes, bits):
-            score = model["prior"] + sum(model["unary"].get(f, 0) for f in n["features"])
-            w *= 1 / (1 + np.exp(-score if s else score))
+            w *= 1 / (1 + np.exp(-n["score"] if s else n["score"]))
             if n["parent"] >= 0:
-                w *= np.exp(model["edge"][f"h|{bits[n['parent']]}|{s}"])
+                w *= edges[f"h|{bits[n['parent']]}|{s}"]
         weight[bits] = w
     total = sum(weight.values())
-    expected = [sum(w for b, w in weight.items() if b[i]) / total for i in range(4)]
-    assert np.allclose(mainbody.marginals(nodes, model), expected)
+    expected = [sum(w for b, w in weight.items() if b[i]) / total for i in range(5)]
+    assert np.allclose(mainbody.marginals(nodes, edges), expected)
 
 
 def test_hilbert_neighbours():
