@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,20 +74,20 @@ def places_in(schema: str, above: tuple[str, ...] = ()) -> list[tuple[str, str]]
     return found
 
 
-def _places_of(nodes: DataFrame, column: str, above: tuple[str, ...]) -> set[tuple[str, str]]:
-    """The distinct (steps, kind) over the nodes' own schemas."""
+def _places_of(nodes: DataFrame, above: list[tuple[str, ...]]) -> set[tuple[str, str]]:
+    """The distinct (steps, kind) over the own schemas of ``node``, which lies at the place ``above[at]``."""
 
     def run(batches):
         import pandas as pd
 
         sent: set[tuple[str, str]] = set()
         for pdf in batches:
-            new = {x for schema in set(pdf["s"]) for x in places_in(schema, above)} - sent
+            new = {x for at, schema in set(zip(pdf["at"], pdf["s"])) for x in places_in(schema, above[at])} - sent
             if len(sent) <= MAX_PLACES:
                 sent |= new
             yield pd.DataFrame(sorted(new), columns=["steps", "kind"], dtype="object")
 
-    found = cut(nodes.select(F.schema_of_variant(column).alias("s")).mapInPandas(run, "steps string, kind string").distinct())
+    found = cut(nodes.select("at", F.schema_of_variant("node").alias("s")).mapInPandas(run, "steps string, kind string").distinct())
     n = found.count()
     if n > MAX_PLACES:
         raise ValueError(f"{n} places in the payloads: keys are data")
@@ -97,25 +98,25 @@ def places(docs: DataFrame, record: str, asked: dict[str, Table] | None = None,
     """The merged schema of all documents as the distinct (steps, kind), shallowest first.
 
     Every document's own schema is read and the places are merged, so that files that differ in shape still
-    show theirs.  Where the elements of one document differ (VARIANT) each element's own schema is read, for
-    places above the records and, if some tables are asked for, those that can lead to them.  Places are as
-    many as the format has fields; beyond MAX_PLACES keys are data and an error says so.
+    show theirs.  Where the elements of one document differ (VARIANT) each element's own schema is read, in
+    one more pass for all such places, if some table can lie below.  Places are as many as the format has
+    fields; beyond MAX_PLACES keys are data and an error says so.
     """
-    found = _places_of(docs, column, ())
+    found = _places_of(docs.select(F.lit(0).alias("at"), F.col(column).alias("node")), [()])
     wanted = [tuple(k.split(".")) for k in asked] if asked else None
-    done: set[str] = set()
+    done: set[tuple[str, ...]] = set()
     while True:
         todo = []
         for at, kind in sorted(found):
             steps = tuple(json.loads(at))
             below = _names(steps[steps.index(record) + 1 :]) if record in steps else ()
-            if kind == "VARIANT" and at not in done and (wanted is None or any(w[: len(below)] == below for w in wanted)):
-                todo.append((at, steps))
+            if kind == "VARIANT" and steps not in done and (wanted is None or any(len(w) > len(below) and w[: len(below)] == below for w in wanted)):
+                todo.append(steps)
         if not todo:
             return sorted(((tuple(json.loads(at)), kind) for at, kind in found), key=lambda p: (len(p[0]), p))
-        for at, steps in todo:
-            done.add(at)
-            found |= _places_of(docs.select(F.explode(nodes_at(F.col(column), steps)).alias("node")), "node", steps)
+        done.update(todo)
+        each = [docs.select(F.lit(i).alias("at"), F.explode(nodes_at(F.col(column), steps)).alias("node")) for i, steps in enumerate(todo)]
+        found |= _places_of(reduce(DataFrame.unionByName, each), todo)
 
 
 def record_places(found: list[tuple[tuple[str, ...], str]], record: str) -> list[tuple[str, ...]]:
@@ -128,14 +129,13 @@ def _names(steps: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(s for s in steps if s != "[]")
 
 
-def list_places(found: list[tuple[tuple[str, ...], str]], record: str) -> list[tuple[str, ...]]:
-    """The names that lead from a record to each of its lists: places that are an array in at least one document."""
+def list_places(found: list[tuple[tuple[str, ...], str]], record: str, asked: dict[str, Table] | None = None) -> list[tuple[str, ...]]:
+    """The names that lead from a record to each of its lists: places that are an array in at least one document, and asked places that occur."""
     out = set()
     for steps, kind in found:
-        if record in steps and kind == "ARRAY":
-            below = _names(steps[steps.index(record) + 1 :])
-            if below:
-                out.add(below)
+        below = _names(steps[steps.index(record) + 1 :]) if record in steps else ()
+        if below and (kind == "ARRAY" or (asked and ".".join(below) in asked)):
+            out.add(below)
     return sorted(out)
 
 
@@ -217,7 +217,7 @@ class Level:
 
 def levels_of(lists: list[tuple[str, ...]], asked: dict[str, Table] | None) -> tuple[Level, ...]:
     """The tree of levels: every list hangs from the longest list above it.  With ``asked`` only those and what leads to them are kept."""
-    every = sorted(set(lists) | ({tuple(k.split(".")) for k, t in asked.items() if t.single} if asked else set()))
+    every = sorted(set(lists))
     above = {p: max((q for q in every if q != p and p[: len(q)] == q), key=len, default=()) for p in every}
 
     def build(parent: tuple[str, ...]) -> tuple[Level, ...]:
@@ -276,7 +276,7 @@ def flatten_records(df: DataFrame, key: str, payload: str, record: str, asked: d
     tries = [gathered(F.col("doc"), steps) for steps in at]
     records = F.coalesce(*[F.when(F.size(t) > 0, t) for t in tries])
     rows = docs.select("_key", F.posexplode(records).alias("_at", "rec"))
-    levels = levels_of(list_places(found, record), asked)
+    levels = levels_of(list_places(found, record, asked), asked)
     if not levels:
         return rows.select(F.col("_key").alias(key), F.lit(1).alias("record_no"), F.lit("").alias("child_table"), F.array().cast("array<int>").alias("ordinals"), F.lit("").alias("child_value")).filter("false")
     kept = F.filter(F.concat(*[_rows(level, F.col("rec"), F.array().cast("array<int>")) for level in levels]), lambda r: r["child_value"].isNotNull())

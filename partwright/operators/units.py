@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwright.session import broadcast_if_small, cut, join_values
+from partwright.session import broadcast_if_small, cut, join_values, spread
 
 # The size of each unit in the common unit of its quantity.
 LENGTH = {
@@ -311,8 +311,8 @@ def measured_values(df: DataFrame, key: str, attributes: str, note: str, source:
     wide = df.select(F.col(key).cast("bigint").alias("_key"), note_of.alias("_note"), F.col(source).alias("_source"), F.col(product).alias("_product"), *[F.try_element_at(F.col(attributes), F.lit(n)).alias(n) for n in names])
     long = wide.select("_key", "_note", "_source", "_product", F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(f"`{n}`").alias("_text")) for n in names])))
     long = long.filter((F.trim("_text") != "") & F.col("_text").rlike(r"[0-9½¼¾⅛⅜⅝⅞⅓⅔⅙⅚⅕⅖⅗⅘]|(?i)one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|teen|half|third|quarter|halves"))
-    texts = long.groupBy("_name", "_text", "_note").agg(F.count(F.lit(1)).alias("_rows"))
-    got = cut(texts.mapInPandas(_read_batches, "_name string, _text string, _note string, _rows bigint, _values array<struct<value_no:int,readings:array<bigint>>>"))
+    texts = cut(long.groupBy("_name", "_text", "_note").agg(F.count(F.lit(1)).alias("_rows")))
+    got = cut(spread(texts, texts.count(), 4_000).mapInPandas(_read_batches, "_name string, _text string, _note string, _rows bigint, _values array<struct<value_no:int,readings:array<bigint>>>"))
     total = got.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("t")).first()["t"]
     read = join_values(long, got, ["_name", "_text", "_note"], "_rows", total).select("_key", "_source", "_product", F.col("_name").alias("attribute_name"), F.inline("_values"))
     return settled_readings(cut(read), "_key", "_source", "_product").withColumnRenamed("_key", key)

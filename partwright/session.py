@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Largest side, in rows, that an operator may broadcast after having counted it.
 BROADCAST_ROWS = 200_000
+# Largest side in bytes.
+BROADCAST_BYTES = 128 << 20
 
 
 def local_session(cores: int | str = "*", shuffle: int = 8, app: str = "partwright") -> SparkSession:
@@ -22,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle: int = 8, app: str = "partwrig
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -36,12 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: what ``spark.checkpoint.dir`` names.
 
-    Only where that is unset (tests, one machine) a local folder is made and set.
+    Only where that is unset and one machine runs everything (tests) a local folder is made and set; on a
+    cluster an unset folder is an error, since a folder of one machine is another one on the next.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if named is None and not re.match(r"local(\[|$)", sc.master or ""):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"partwright-{os.getpid()}"))
         current = sc.getCheckpointDir()
     return current
@@ -53,9 +60,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose row count was measured and lies within the bound; else leave the join to the planner."""
-    return F.broadcast(df) if rows <= bound else df
+def row_bytes(df: DataFrame) -> int:
+    """What a row of the frame takes at most in memory, texts and arrays by an allowance."""
+    sizes = {"string": 160, "binary": 160, "array": 400, "struct": 400, "map": 800}
+    return 16 + sum(next((n for kind, n in sizes.items() if f.dataType.simpleString().startswith(kind)), 16) for f in df.schema)
+
+
+def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS, each: int | None = None) -> DataFrame:
+    """Broadcast a side whose row count was measured if rows and bytes lie within the bounds; else leave the join to the planner.
+
+    ``each`` is the measured size of a row where texts may be long.
+    """
+    return F.broadcast(df) if rows <= bound and rows * (each or row_bytes(df)) <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
+    """The frame in as many partitions as its rows call for; small rows with much work each would else be joined into one task."""
+    return df.repartition(max(1, -(-rows // per_task)))
 
 
 def salted(key: str, buckets: int, *by: str):
