@@ -395,9 +395,9 @@ def recurring_lines(df: DataFrame, text: str, url: str, title: str) -> dict[int,
     Only hashes and counts are shuffled.
     """
     pages = read_pages(df, text, url, title)
-    often = cut(pages.select(F.explode(F.array_distinct("_hashes")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    often = cut(pages.select(F.explode(F.array_distinct("_hashes")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3"))
     total = df.filter(F.length(text) > 0).count()
-    return {r["h"]: r["n"] / total for r in often.filter(F.col("n") >= max(3, total * RECURRING)).collect()}
+    return {r["h"]: r["n"] / total for r in often.filter(F.col("n") >= total * RECURRING).collect()}
 
 
 def fit(df: DataFrame, key: str, text: str, url: str, title: str, pages: int = TRAIN_PAGES, hidden: frozenset[str] = frozenset()) -> Model:

@@ -1,29 +1,32 @@
 """Subject areas of documents, by bisecting k-means and leaf mixtures.
 
-Normalised document vectors of a bounded sample are split by bisecting k-means.  Each leaf is labelled
-with the subject whose telling terms its own discriminative terms match best; the telling terms of a
-subject come from the labelled documents and from its name and description.  Leaves of one subject are
-then mixed and sharpened on single sentences, since one sentence treats one subject.  There is one
-mixture per language, told by function words, as templates of one language would else look like a
-subject.  Every document
-of the corpus is read whole: its sentences are assigned by the mixture, and it has each subject that
-covers at least a fifth of its words.
+Terms are counted over all documents, in hashed slots, apart for each language, which its function words
+tell.  The normalised vectors of all documents, folded to few dimensions, are split by bisecting k-means.
+Each leaf is labelled with the subject whose telling terms its own discriminative terms match best, and
+holds a mixture of subjects, from the labelled documents in it and from its label.  The words of all
+leaves of a subject start its word distribution, which is sharpened on the sentences of the labelled
+documents, since one sentence treats one subject.  Every document is then read whole: its leaf's mixture
+is the prior of its sentences, each goes to the subject that explains it best, and the document has each
+subject that covers at least a fifth of its words.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partwright.session import cut
+from partwright.session import broadcast_if_small, cut
 
-# Bounds of the training sample: documents with labels per language, and documents without labels.
-LABELLED_DOCS, OTHER_DOCS = 2500, 1000
+# Bound of the labelled sample: documents of a language whose sentences sharpen the word distributions.
+LABELLED_DOCS = 2500
 # Function words that tell a language.
 FUNCTION_WORDS = {
     "en": "the and that with this from when has for are not was which before after".split(),
@@ -31,15 +34,18 @@ FUNCTION_WORDS = {
     "fr": "le la les des est une pour sur dans avec du et au aux pas que nous qui cette par depuis".split(),
     "es": "el los las una para con por del que en se es y al como este desde sobre".split(),
 }
-LEAVES = 48
-MAX_TERMS = 20_000
+CODES = list(FUNCTION_WORDS)
+# Slots that terms are hashed to, dimensions that vectors are folded to, leaves, rounds of each bisection.
+SLOTS, DIMS, LEAVES, SPLIT_ROUNDS = 1 << 17, 128, 64, 6
 MIN_DOCS = 3
 MIN_SHARE = 0.2
 # From so many labelled documents on, terms must stand in documents of one subject to this share.
 MIN_LABELLED, MIN_PEAK = 20, 0.45
 ROUNDS = 6
-# Weight of a subject's labels against its sentences' words while the mixture is sharpened.
+# Weight of a subject's labels against its sentences' words while the distributions are sharpened.
 LABEL_PRIOR = 20.0
+# Discriminative terms of a leaf, the match from which it is labelled, the weight of its label in documents, and of its mixture in sentences.
+TOP, MIN_MATCH, OWNER_DOCS, MIXED = 25, 0.7, 2.0, 1.0
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 
@@ -70,124 +76,211 @@ for _code, _list in FUNCTION_WORDS.items():
         _LANGUAGES[_w] = (*_LANGUAGES.get(_w, ()), _code)
 
 
-def bisecting_kmeans(x: np.ndarray, leaves: int, seed: int = 7, rounds: int = 12) -> np.ndarray:
-    """Leaf of each row of normalised vectors: the leaf with the largest spread is split in two until there are enough."""
-    rng = np.random.default_rng(seed)
-    leaf = np.zeros(len(x), dtype=np.int32)
+class Slots(dict):
+    """The slot of each term, worked out once."""
 
-    def spread(rows: np.ndarray) -> float:
-        return float(len(rows) - np.linalg.norm(x[rows].sum(axis=0))) if len(rows) else 0.0
+    def __missing__(self, term: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[term] = zlib.crc32(term.encode()) % SLOTS
+        return got
 
-    spreads = {0: spread(np.arange(len(x)))}
-    while len(spreads) < leaves:
-        k = max(spreads, key=lambda j: spreads[j])
-        rows = np.flatnonzero(leaf == k)
-        if len(rows) < 4 or spreads[k] <= 1e-6:
-            break
-        part = x[rows]
-        first = part[rng.integers(len(rows))]
-        second = part[int(np.argmin(part @ first))]
-        centres = np.stack([first, second])
-        side = np.zeros(len(rows), dtype=np.int8)
-        for _ in range(rounds):
-            new = np.argmax(part @ centres.T, axis=1).astype(np.int8)
-            if (new == side).all() and _:
-                break
-            side = new
-            for b in (0, 1):
-                if (side == b).any():
-                    c = part[side == b].sum(axis=0)
-                    centres[b] = c / (np.linalg.norm(c) or 1.0)
-        if side.all() or not side.any():
-            spreads[k] = 0.0
-            continue
-        new_leaf = max(spreads) + 1
-        leaf[rows[side == 1]] = new_leaf
-        spreads[k], spreads[new_leaf] = spread(rows[side == 0]), spread(rows[side == 1])
-    return leaf
-
-
-def train(docs: list[tuple[int, str]], labels: dict[int, Counter], subjects: dict[int, str]) -> dict[str, dict]:
-    """One mixture per language from a sample of documents."""
-    by: dict[str, list] = defaultdict(list)
-    for d, t in docs:
-        parsed = sentences(t or "")
-        if parsed:
-            by[language(parsed)].append((d, parsed))
-    return {code: train_one(by.get(code, []), labels, subjects) for code in FUNCTION_WORDS}
-
-
-def train_one(parsed: list[tuple[int, list[list[str]]]], labels: dict[int, Counter], subjects: dict[int, str]) -> dict:
-    """The mixture from parsed documents: ``terms``, log probabilities per component (last: none), component subjects."""
-    subject_ids = sorted(subjects)
-    df = Counter(t for _, ss in parsed for t in {t for s in ss for t in s})
-    vocabulary = [t for t, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= min(MIN_DOCS, max(1, len(parsed) // 50))][:MAX_TERMS]
-    ids = {t: i for i, t in enumerate(vocabulary)}
-    v, k = len(vocabulary), len(subject_ids)
-    model = {"terms": ids, "subjects": subject_ids, "logp": np.zeros((max(v, 1), k + 1), dtype=np.float32), "prior": np.zeros(k + 1, dtype=np.float32)}
-    if not v or not k:
-        return model
-    n = len(parsed)
-    counts = np.zeros((n, v), dtype=np.float32)
-    for i, (_, ss) in enumerate(parsed):
-        for s in ss:
-            for t in s:
-                if t in ids:
-                    counts[i, ids[t]] += 1
-    idf = np.log((1 + n) / (1 + np.array([df[t] for t in vocabulary]))).astype(np.float32)
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    leaf = bisecting_kmeans(x, min(LEAVES, max(k + 2, n // 8)))
-
-    # telling terms of subjects: log-odds of a term in documents with the label against those without
-    has = np.zeros((n, k), dtype=np.float32)
-    for i, (d, _) in enumerate(parsed):
+
+def _read(batches):
+    slots = Slots()
+    for pdf in batches:
+        codes, terms, counts = [], [], []
+        for text in pdf["text"]:
+            parsed = sentences(text)
+            c = Counter(slots[t] for s in parsed for t in s)
+            codes.append(CODES.index(language(parsed))), terms.append(list(c)), counts.append(list(c.values()))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": pd.Series(codes, dtype="int32"), "slots": terms, "counts": counts})
+
+
+def _fold() -> tuple[np.ndarray, np.ndarray]:
+    """The dimension and sign of each slot."""
+    rng = np.random.default_rng(5)
+    return rng.integers(DIMS, size=SLOTS), rng.choice(np.array([-1.0, 1.0], dtype=np.float32), size=SLOTS)
+
+
+def folded(slots: list[np.ndarray], counts: list[np.ndarray], codes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The normalised vectors of documents: log counts weighted by inverse document frequency, folded by signed hashing."""
+    at, sign = _fold()
+    out = np.zeros((len(slots), DIMS), dtype=np.float32)
+    if not len(slots):
+        return out
+    sizes = np.array([len(s) for s in slots])
+    if sizes.sum():
+        flat, c = np.concatenate([np.asarray(s, dtype=np.int64) for s in slots]), np.concatenate([np.asarray(x, dtype=np.float32) for x in counts])
+        of = np.repeat(np.arange(len(slots)), sizes)
+        w = np.log1p(c) * idf[np.asarray(codes)[of], flat] * sign[flat]
+        out += np.bincount(of * DIMS + at[flat], weights=w, minlength=len(slots) * DIMS).reshape(out.shape).astype(np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(vectors @ centres.T, axis=1) if len(centres) else np.zeros(len(vectors), dtype=np.int64)
+
+
+def grown(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """The centres of the leaves of bisecting k-means over the vectors of all documents."""
+    handle = tokens.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"v": list(folded(list(pdf["slots"]), list(pdf["counts"]), pdf["code"].to_numpy(), handle.value).astype(np.float64))})
+
+    vectors = cut(tokens.filter(F.size("slots") > 0).mapInPandas(run, "v array<double>").select(array_to_vector("v").alias("features")))
+    if not vectors.head(1):
+        return np.zeros((0, DIMS), dtype=np.float32)
+    tree = BisectingKMeans(k=LEAVES, maxIter=SPLIT_ROUNDS, seed=7, distanceMeasure="cosine").fit(vectors)
+    centres = np.array(tree.clusterCenters(), dtype=np.float32)
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+
+
+def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float = MIXED) -> dict:
+    """The model: word distributions per language, leaves and their mixtures.
+
+    Counts, vectors, leaves, discriminative terms and mixtures come from all documents; only the sentences
+    that sharpen the word distributions are those of at most LABELLED_DOCS labelled documents a language.
+    What reaches the driver is bounded by slots, leaves, subjects and that sample.
+    """
+    spark = docs.sparkSession
+    names = {r["subject_id"]: f"{r['subject_name'] or ''} {r['description'] or ''}" for r in subjects.collect()}
+    subject_ids = sorted(names)
+    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    tokens = cut(texts.mapInPandas(_read, "doc_id bigint, code int, slots array<int>, counts array<int>"))
+    held = tokens.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
+    n_docs = np.zeros(len(CODES))
+    for r in held:
+        n_docs[r["code"]] = r["n"]
+    df = cut(tokens.select("code", F.explode("slots").alias("slot")).groupBy("code", "slot").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= MIN_DOCS))
+    idf, seen = np.zeros((len(CODES), SLOTS), dtype=np.float32), np.zeros((len(CODES), SLOTS), dtype=np.float64)
+    known = df.toPandas()
+    if len(known):
+        c, s = known["code"].to_numpy(), known["slot"].to_numpy()
+        seen[c, s] = known["df"]
+        idf[c, s] = np.log((1 + n_docs[c]) / (1 + known["df"].to_numpy()))
+    centres = grown(tokens, idf)
+
+    votes = cut(labels.filter("doc_id is not null and subject_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject_id").distinct())
+    marked = cut(votes.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject_id")).alias("s")))
+    handle = spark.sparkContext.broadcast((idf, centres))
+
+    def leafed(batches):
+        weights, mid = handle.value
+        for pdf in batches:
+            v = folded(list(pdf["slots"]), list(pdf["counts"]), pdf["code"].to_numpy(), weights)
+            yield pdf.assign(leaf=nearest(v, mid).astype("int32"))
+
+    placed = tokens.mapInPandas(leafed, "doc_id bigint, code int, slots array<int>, counts array<int>, leaf int")
+    in_leaf = cut(placed.select("doc_id", "code", "leaf", F.arrays_zip("slots", "counts").alias("z")))
+    told = in_leaf.select("doc_id", "code", "leaf").join(broadcast_if_small(marked, marked.count()), "doc_id")
+    leaf_votes = told.select("code", "leaf", F.explode("s").alias("subject_id"), (1.0 / F.size("s")).alias("w")).groupBy("code", "leaf", "subject_id").agg(F.sum("w").alias("w")).collect()
+
+    order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
+    wanted = cut(told.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= LABELLED_DOCS).select("doc_id", "code", "s"))
+    sample = texts.join(F.broadcast(wanted), "doc_id").collect()
+    by: dict[int, list] = defaultdict(list)
+    slots = Slots()
+    for r in sorted(sample, key=lambda r: r["doc_id"]):
+        by[r["code"]].append((frozenset(r["s"]), [[slots[t] for t in s] for s in sentences(r["text"])]))
+    telling = {c: telling_terms(by.get(c, []), subject_ids, names, slots, seen[c]) for c in range(len(CODES))}
+
+    # the discriminative terms of each leaf, and with them its label
+    cells = in_leaf.select("code", "leaf", F.inline("z")).groupBy("code", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"), F.sum("counts").alias("words"))
+    cells = cut(cells.join(broadcast_if_small(df.withColumnRenamed("slot", "slots"), len(known)), ["code", "slots"]))
+    sizes = in_leaf.groupBy("code", "leaf").agg(F.count(F.lit(1)).alias("size"))
+    everywhere = F.broadcast(spark.createDataFrame([(c, float(max(n, 1))) for c, n in enumerate(n_docs)], "code int, total double"))
+    share = F.col("n") / F.col("size")
+    lift = F.ln((share + 1e-3) / (F.col("df") / F.col("total") + 1e-3)) * share
+    best = Window.partitionBy("code", "leaf").orderBy(F.desc("lift"), "slots")
+    top = cells.join(F.broadcast(sizes), ["code", "leaf"]).join(everywhere, "code").withColumn("lift", lift).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= TOP).select("code", "leaf", "slots", "lift").collect()
+    by_leaf: dict[tuple[int, int], list] = defaultdict(list)
+    for r in top:
+        by_leaf[(r["code"], r["leaf"])].append((r["slots"], max(r["lift"], 0.0)))
+    k = len(subject_ids)
+    owner = {}
+    for (c, leaf), terms in by_leaf.items():
+        at, w = np.array([t for t, _ in terms]), np.array([x for _, x in terms])
+        match = (np.clip(telling[c][:, at], -2, 4) * w).sum(axis=1) / max(w.sum(), 1e-9) if k else np.zeros(0)
+        owner[(c, leaf)] = int(match.argmax()) if k and match.max() >= MIN_MATCH else k
+
+    # the words of all leaves of a subject start its distribution
+    owners = spark.createDataFrame([(c, leaf, o) for (c, leaf), o in owner.items()], "code int, leaf int, owner int")
+    words = cells.join(F.broadcast(owners), ["code", "leaf"]).groupBy("code", "owner", "slots").agg(F.sum("words").alias("words")).toPandas()
+    mixtures = np.full((len(CODES), max(len(centres), 1), k + 1), 1.0)
+    for (c, leaf), o in owner.items():
+        mixtures[c, leaf, o] += OWNER_DOCS
+    place = {s: j for j, s in enumerate(subject_ids)}
+    for r in leaf_votes:
+        if r["subject_id"] in place:
+            mixtures[r["code"], r["leaf"], place[r["subject_id"]]] += r["w"]
+    mixtures[:, :, k] = np.maximum(mixtures[:, :, k], mixtures[:, :, :k].sum(axis=2) / 4)
+    mixtures = mixed * np.log(mixtures / mixtures.sum(axis=2, keepdims=True))
+    parts = []
+    for c in range(len(CODES)):
+        own = words[words["code"] == c]
+        start = np.full((SLOTS, k + 1), 0.0, dtype=np.float64)
+        start[own["slots"].to_numpy(), own["owner"].to_numpy()] = own["words"]
+        parts.append(sharpened(by.get(c, []), subject_ids, telling[c], start, seen[c], k))
+    return {"subjects": subject_ids, "idf": idf, "centres": centres, "mixtures": mixtures.astype(np.float32), "parts": parts}
+
+
+def telling_terms(sample: list, subject_ids: list[int], names: dict[int, str], slots: Slots, seen: np.ndarray) -> np.ndarray:
+    """Per subject and slot the log odds of the term in documents with the label against those without; more for words of its name."""
+    k = len(subject_ids)
+    inside, base = np.zeros((k, SLOTS)), np.zeros(SLOTS)
+    size = np.zeros(k)
+    for own, parsed in sample:
+        terms = np.unique([t for s in parsed for t in s]).astype(np.int64)
+        base[terms] += 1
         for j, s in enumerate(subject_ids):
-            if labels.get(d, {}).get(s):
-                has[i, j] = 1.0 / len(labels[d])
-    present = (counts > 0).astype(np.float32)
-    labelled = has.sum(axis=1) > 0
-    base = present[labelled].sum(axis=0) if labelled.any() else np.zeros(v, dtype=np.float32)
-    in_subject = has.T @ present
-    size = np.maximum(has.sum(axis=0), 1e-6)[:, None]
-    rest = np.maximum(labelled.sum() - size, 1e-6)
-    telling = np.log((in_subject + 0.5) / (size + 1)) - np.log((base - in_subject + 0.5) / (rest + 1))
+            if s in own:
+                size[j] += 1 / len(own)
+                inside[j, terms] += 1 / len(own)
+    rest = np.maximum(len(sample) - size, 1e-6)
+    out = np.log((inside + 0.5) / (np.maximum(size, 1e-6)[:, None] + 1)) - np.log((np.maximum(base - inside, 0) + 0.5) / (rest[:, None] + 1))
     for j, s in enumerate(subject_ids):
-        for t in set(_TERM.findall(subjects[s].lower())):
+        for t in set(_TERM.findall(names[s].lower())):
             for form in (t, t.rstrip("s"), t + "s"):
-                if form in ids:
-                    telling[j, ids[form]] += 1.0
-
-    # discriminative terms of leaves, matched with the subjects' telling terms
-    kinds = np.unique(leaf)
-    share = np.stack([present[leaf == b].mean(axis=0) for b in kinds])
-    lift = np.log((share + 1e-3) / (present.mean(axis=0) + 1e-3)) * share
-    match = np.zeros((len(kinds), k))
-    for b in range(len(kinds)):
-        top = np.argsort(-lift[b])[:25]
-        w = np.maximum(lift[b, top], 0)
-        match[b] = (np.clip(telling[:, top], -2, 4) * w).sum(axis=1) / max(w.sum(), 1e-9)
-    owner = np.where(match.max(axis=1) >= 0.7, match.argmax(axis=1), k)
-
-    # leaves are mixed into components; only terms that tell subjects apart take part at first
-    start = np.full((v, k + 1), 0.05, dtype=np.float64)
-    for b, o in zip(kinds, owner):
-        start[:, o] += counts[leaf == b].sum(axis=0)
+                if seen[slots[form]] > 0:
+                    out[j, slots[form]] += 1.0
+    return out
+
+
+def sharpened(sample: list, subject_ids: list[int], telling: np.ndarray, start: np.ndarray, seen: np.ndarray, k: int) -> dict:
+    """The word distributions of a language: ``slots`` that tell subjects apart, ``logp`` per component (last: none), ``prior``."""
+    known = np.flatnonzero(seen > 0)
+    empty = {"slots": np.zeros(0, dtype=np.int64), "logp": np.zeros((0, k + 1), dtype=np.float32), "prior": np.zeros(k + 1, dtype=np.float32)}
+    if not len(known) or not k:
+        return empty
+    every = start.sum(axis=1)
     for j in range(k):  # a subject without a leaf starts from its telling terms
-        if not (owner == j).any():
-            start[:, j] += np.exp(np.clip(telling[j], -3, 3)) * (counts.sum(axis=0) / counts.sum()) * 200
-    start[:, k] += counts.sum(axis=0) * 0.05
-    kept = np.arange(v)
-    if labelled.sum() >= MIN_LABELLED:
-        together = (has > 0).astype(np.float32)[labelled].T @ present[labelled]
-        kept = np.flatnonzero(together.max(axis=0) / (base + 2) >= MIN_PEAK)
+        if not start[:, j].any():
+            start[known, j] = np.exp(np.clip(telling[j, known], -3, 3)) * every[known] / max(every.sum(), 1.0) * 200
+    start[:, k] += every * 0.05
+    start[known] += 0.05
+    kept = known
+    if len(sample) >= MIN_LABELLED:
+        together, base = np.zeros((SLOTS, k)), np.zeros(SLOTS)
+        for own, parsed in sample:
+            terms = np.unique([t for s in parsed for t in s]).astype(np.int64)
+            base[terms] += 1
+            for j, s in enumerate(subject_ids):
+                if s in own:
+                    together[terms, j] += 1
+        kept = known[together[known].max(axis=1) / (base[known] + 2) >= MIN_PEAK]
     prior = np.zeros(k + 1)
+    model = empty
     for _ in range(2):
-        table = start[kept] / start[kept].sum(axis=0) if len(kept) else start[kept]
-        flat, bounds, own, every = _rows(parsed, ids, kept, labels, subject_ids)
+        if not len(kept):
+            break
+        logp = np.log(start[kept] / start[kept].sum(axis=0))
+        model = {"slots": kept, "logp": logp.astype(np.float32), "prior": prior.astype(np.float32)}
+        flat, bounds, own, all_terms = _rows(sample, kept, subject_ids)
         if not len(flat):
             break
-        logp = np.log(table)
         of = np.repeat(np.arange(len(bounds)), np.diff(np.append(bounds, len(flat))))
         for _ in range(ROUNDS):
             score = np.add.reduceat(logp[flat], bounds, axis=0) + own + prior
@@ -199,25 +292,22 @@ def train_one(parsed: list[tuple[int, list[list[str]]]], labels: dict[int, Count
                 new[:, c] += np.bincount(flat, weights=post[of, c], minlength=len(kept))
             logp = np.log(new / new.sum(axis=0))
             prior = np.log((post.sum(axis=0) + 1) / (len(bounds) + k + 1))
-        model = {"terms": {vocabulary[i]: j for j, i in enumerate(kept)}, "subjects": subject_ids, "logp": logp.astype(np.float32), "prior": prior.astype(np.float32)}
+        model = {"slots": kept, "logp": logp.astype(np.float32), "prior": prior.astype(np.float32)}
         # the sentences told so far show which of all terms tell subjects apart
-        start = np.full((v, k + 1), 0.05)
-        for row, terms in enumerate(every):
+        start = np.full((SLOTS, k + 1), 0.05)
+        for row, terms in enumerate(all_terms):
             start[terms] += post[row]
-        kept = np.flatnonzero(start.max(axis=1) / (start.sum(axis=1) + 2) >= MIN_PEAK)
+        kept = known[start[known].max(axis=1) / (start[known].sum(axis=1) + 2) >= MIN_PEAK]
     return model
 
 
-def _rows(parsed, ids: dict[str, int], kept: np.ndarray, labels: dict, subject_ids: list[int]):
-    """Sentences with kept terms: their terms' places in ``kept``, where each begins, log label priors, and all their terms."""
+def _rows(sample: list, kept: np.ndarray, subject_ids: list[int]):
+    """Sentences with kept terms: their terms' places in ``kept``, where each begins, log label priors, and all their slots."""
     place = {int(i): j for j, i in enumerate(kept)}
     flat, bounds, prior, every = [], [], [], []
-    for d, ss in parsed:
-        own = np.ones(len(subject_ids) + 1)
-        if labels.get(d):
-            own = np.array([LABEL_PRIOR if labels[d].get(s) else 1.0 for s in subject_ids] + [LABEL_PRIOR / 4])
-        for s in ss:
-            terms = [ids[t] for t in s if t in ids]
+    for labels, parsed in sample:
+        own = np.array([LABEL_PRIOR if s in labels else 1.0 for s in subject_ids] + [LABEL_PRIOR / 4]) if labels else np.ones(len(subject_ids) + 1)
+        for terms in parsed:
             told = [place[i] for i in terms if i in place]
             if told:
                 bounds.append(len(flat))
@@ -227,47 +317,38 @@ def _rows(parsed, ids: dict[str, int], kept: np.ndarray, labels: dict, subject_i
     return np.array(flat, dtype=np.int64), np.array(bounds, dtype=np.int64), np.log(np.array(prior)), every
 
 
-def shares(text: str, models: dict[str, dict]) -> np.ndarray:
-    """The share of a text's words that each component covers; the last is none."""
-    parsed = sentences(text)
-    model = models[language(parsed)]
-    ids, logp, prior = model["terms"], model["logp"], model["prior"]
-    flat, bounds, sizes = [], [], []
-    total = 0
-    for s in parsed:
-        total += len(s)
-        tokens = [i for i in map(ids.get, s) if i is not None]
-        if tokens:
-            bounds.append(len(flat))
-            sizes.append(len(s))
-            flat.extend(tokens)
-    out = np.zeros(len(prior))
-    if not flat:
-        return out
-    best = np.argmax(np.add.reduceat(logp[flat], bounds, axis=0) + prior, axis=1)
-    np.add.at(out, best, sizes)
-    return out / total
-
-
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> dict:
-    """The mixtures from at most LABELLED_DOCS labelled documents a language and OTHER_DOCS others, chosen by a hash of their id."""
-    votes = labels.filter("doc_id is not null and subject_id is not null").select("doc_id", "subject_id").distinct()
-    marked = votes.groupBy("doc_id").agg(F.collect_set("subject_id").alias("s"))
-    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-
-    def told(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "language": [language(sentences(t)) for t in pdf["text"]]})
-
-    spoken = cut(texts.join(marked.select("doc_id"), "doc_id", "left_semi").mapInPandas(told, "doc_id bigint, language string"))
-    order = F.xxhash64("doc_id")
-    wanted = [r["doc_id"] for code in FUNCTION_WORDS for r in spoken.filter(F.col("language") == code).orderBy(order, "doc_id").limit(LABELLED_DOCS).collect()]
-    wanted += [r["doc_id"] for r in texts.select("doc_id").orderBy(order, "doc_id").limit(OTHER_DOCS).collect()]
-    keys = F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in set(wanted)], "doc_id bigint"))
-    sample = texts.join(keys, "doc_id", "left_semi").collect()
-    by = {r["doc_id"]: Counter(r["s"]) for r in marked.join(keys, "doc_id", "left_semi").collect()}
-    names = {r["subject_id"]: f"{r['subject_name'] or ''} {r['description'] or ''}" for r in subjects.collect()}
-    return train(sorted((r["doc_id"], r["text"]) for r in sample), by, names)
+class Reader:
+    """Reads documents with a model."""
+
+    def __init__(self, model: dict):
+        self.model, self.slots = model, Slots()
+        self.places = [{int(s): i for i, s in enumerate(p["slots"])} for p in model["parts"]]
+
+    def shares(self, text: str) -> np.ndarray:
+        """The share of a text's words that each component covers; the last is none."""
+        m = self.model
+        found = sentences(text)
+        parsed = [[self.slots[t] for t in s] for s in found]
+        code = CODES.index(language(found))
+        part, place = m["parts"][code], self.places[code]
+        flat, bounds, sizes = [], [], []
+        total = 0
+        for s in parsed:
+            total += len(s)
+            tokens = [i for i in map(place.get, s) if i is not None]
+            if tokens:
+                bounds.append(len(flat))
+                sizes.append(len(s))
+                flat.extend(tokens)
+        out = np.zeros(len(m["subjects"]) + 1)
+        if not flat:
+            return out
+        c = Counter(t for s in parsed for t in s)
+        vector = folded([np.fromiter(c, dtype=np.int64)], [np.fromiter(c.values(), dtype=np.float32)], np.array([code]), m["idf"])
+        mixture = m["mixtures"][code, nearest(vector, m["centres"])[0]]
+        best = np.argmax(np.add.reduceat(part["logp"][flat], bounds, axis=0) + part["prior"] + mixture, axis=1)
+        np.add.at(out, best, sizes)
+        return out / total
 
 
 def subject_shares(docs: DataFrame, model: dict) -> DataFrame:
@@ -275,12 +356,12 @@ def subject_shares(docs: DataFrame, model: dict) -> DataFrame:
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = handle.value
-        subject_ids = m["en"]["subjects"]
+        reader = Reader(handle.value)
+        subject_ids = reader.model["subjects"]
         for pdf in batches:
             d, s, w = [], [], []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                for j, x in enumerate(shares(text, m)[:-1]):
+                for j, x in enumerate(reader.shares(text)[:-1]):
                     if x > 0:
                         d.append(doc), s.append(subject_ids[j]), w.append(x)
             yield pd.DataFrame({"doc_id": pd.Series(d, dtype="int64"), "subject_id": pd.Series(s, dtype="int32"), "share": pd.Series(w, dtype="float64")})

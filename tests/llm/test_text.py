@@ -131,7 +131,7 @@ def test_edits_against_definition():
 
 def test_repair_is_complete(spark):
     rnd = random.Random(2)
-    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([4, 6, 8]))) for _ in range(60)]
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([4, 6, 8, 39, 41, 90]))) for _ in range(90)]
     asked = set()
     for w in vocabulary:
         t = list(w)
@@ -139,7 +139,7 @@ def test_repair_is_complete(spark):
             i = rnd.randrange(len(t))
             t[i : i + 1] = rnd.choice([[], ["z"], [t[i], t[i]]])
         asked.add("".join(t) or "z")
-    got = {(r.token, r.ref, r.n) for r in canonical.repair_tokens(spark.createDataFrame([(a,) for a in asked], "token string"), spark.createDataFrame([(v,) for v in set(vocabulary)], "ref string"), 60).collect()}
+    got = {(r.token, r.ref, r.n) for r in canonical.repair_tokens(spark.createDataFrame([(a,) for a in asked], "token string"), spark.createDataFrame([(v,) for v in set(vocabulary)], "ref string")).collect()}
     allowed = lambda a, b: (min(len(a), len(b)) >= 7) + (min(len(a), len(b)) >= 5)
     assert got == {(a, v, canonical.edits(a, v)) for a in asked for v in vocabulary if canonical.edits(a, v) <= allowed(a, v)}
 
