@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # What stands for "nothing" in raw cells.
 PLACEHOLDERS = ["-- Unbranded --", "-- No Unilog Brand --", "-- No DIB Brand --"]
 # Words with opposite meaning, one of which in evidence contradicts the other in a value.
-ANTONYMS = [("corded", "cordless"), ("indoor", "outdoor"), ("included", "not included"), ("metric", "imperial"), ("left", "right"), ("male", "female")]
+ANTONYMS = [("corded", "cordless"), ("brushless", "brushed"), ("indoor", "outdoor"), ("included", "not included"), ("yes", "no"), ("true", "false")]
 
 
 def strip(c: Column) -> Column:
@@ -117,3 +117,10 @@ def context_tokens(c: Column) -> Column:
 def any_of(c: Column, fragments: Sequence[str]) -> Column:
     """True where the lower-cased text holds one of the fragments."""
     return F.exists(F.array(*[F.lit(f) for f in fragments]), lambda f: F.contains(F.lower(c), f))
+
+
+def unfenced(c: Column) -> Column:
+    """The JSON text inside a code fence or behind other words: from the first brace or bracket to the last one that can close it."""
+    inner = F.regexp_extract(c, r"(?s)```(?:[a-zA-Z]+)?\s*\n(.*)\n\s*```", 1)
+    text = F.when(inner != "", inner).otherwise(c)
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)([\[{].*[\]}])", 1), F.lit("")), text)

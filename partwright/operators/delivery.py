@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,6 @@ def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
     return per.withColumn("upto", upto).withColumn("n", total).filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(by).agg(F.min(value).alias("upper_median"), F.first("n").alias("n"))
 
 
-def triplets(df: DataFrame, key: str, attributes: str, slots: int) -> DataFrame:
-    """The attributes of a record in order of their names, in ``label_i`` / ``value_i`` slots; by index, without a pivot."""
-    a = F.array_sort(F.map_entries(attributes))
-    at = lambda i: F.try_element_at(F.col("_a"), F.lit(i))
-    return df.select(key, a.alias("_a")).select(key, *[x for i in range(1, slots + 1) for x in (at(i)["key"].alias(f"label_{i}"), at(i)["value"].alias(f"value_{i}"))])
-
-
 def numbered_attributes(attributes: str) -> Column:
     """The attributes that have a value, in the order written: an array of (place from 1, label, value, uom)."""
     has = F.filter(F.map_entries(attributes), lambda e: e["value"].rlike(r"\S"))
@@ -67,19 +62,73 @@ def ordered_urls(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(key, F.posexplode(every).alias("_p", "url")).select(key, "url", (F.col("_p") + 1).alias("place"))
 
 
-# What a link leads to, by words in it, first match counts.
+# What a document is, by parts of its address, title and anchor; first match counts.
 ASSET_TYPES = [
-    ("SAFETY_DATA", r"sds|msds|safety-?data"), ("MANUAL", r"manual|instruction"), ("WARRANTY", r"warranty"), ("SPECIFICATION", r"spec|data-?sheet"),
-    ("BROCHURE", r"brochure|catalog"), ("IMAGE", r"\.(jpg|jpeg|png|gif|webp)(\?|$)"),
+    ("sds", ["sds", "msds", "safety data sheet", "safety-data-sheet"]),
+    ("warranty", ["warranty", "guarantee", "limited warranty"]),
+    ("installation_manual", ["install", "installation", "instruction", "setup guide", "mounting", "assembly", "installation manual", "installation instructions"]),
+    ("user_manual", ["user manual", "user guide", "owners manual", "owner's manual", "operator manual", "operating instructions"]),
+    ("cad_drawing", ["cad", "dwg", "dxf", "step", "stp", "line drawing", "dimensional drawing", "engineering drawing", "blueprint", "diagram", "dimension"]),
+    ("catalog", ["catalog", "catalogue", "brochure", "flyer", "pamphlet", "line card", "full line"]),
+    ("specification_sheet", ["spec sheet", "specification", "tech sheet", "technical sheet", "datasheet", "data sheet", "cutsheet", "cut sheet", "technical data", "technical bulletin", "submittal", "product data", "tds"]),
+]
+OTHER_DOCUMENT = "other_document"
+# The order in which document links are given, by parts of the address.
+DOCUMENT_ORDER = [
+    ["manual", "install", "user-guide", "user_guide", "owner", "use-and-care", "instruction", "setup"],
+    ["spec", "datasheet", "brochure", "cutsheet", "catalog"],
+    ["tech", "wiring", "diagram", "service", "bulletin", "engineering", "drawing"],
+    ["warranty", "guarantee"],
+    [".pdf", "document", "download", "/pdf"],
 ]
 
 
-def asset_type(url: Column) -> Column:
+def _said(url: Column, title: Column | None, anchor: Column | None) -> Column:
+    return F.lower(F.concat_ws(" ", url, F.coalesce(title, F.lit("")) if title is not None else F.lit(""), F.coalesce(anchor, F.lit("")) if anchor is not None else F.lit("")))
+
+
+def _one_of(c: Column, words: list[str]) -> Column:
+    return c.rlike("|".join(re.escape(w) for w in words))
+
+
+def asset_type(url: Column, title: Column | None = None, anchor: Column | None = None) -> Column:
+    """What a document is; other_document where nothing tells, null for a null address."""
+    said, out = _said(url, title, anchor), F.when(url.isNull(), F.lit(None).cast("string"))
+    for name, words in ASSET_TYPES:
+        out = out.when(_one_of(said, words), name)
+    return out.otherwise(OTHER_DOCUMENT)
+
+
+def association(url: Column, mpn: Column, title: Column | None = None, catalog: bool = False) -> Column:
+    """MANUFACTURER_GENERAL for catalogues and for warranties and full-line papers that do not name the part, else PRODUCT_SPECIFIC."""
+    said = _said(url, title, None)
+    code = F.lower(F.trim(mpn))
+    named = F.contains(said, code) | F.contains(F.regexp_replace(said, "[-_ ]", ""), F.regexp_replace(code, "[- ]", ""))
+    general = said.rlike("warranty|full line|general catalog|brochure")
+    return F.when(F.lit(catalog), "MANUFACTURER_GENERAL").when(F.coalesce(code, F.lit("")) == "", "PRODUCT_SPECIFIC").when(named | ~general, "PRODUCT_SPECIFIC").otherwise("MANUFACTURER_GENERAL")
+
+
+def document_rank(url: Column) -> Column:
+    """1 for manuals to 6 for anything else, by DOCUMENT_ORDER; .pdf counts at the end of the address only."""
+    low = F.lower(url)
     out = None
-    for name, rx in ASSET_TYPES:
-        hit = F.lower(url).rlike(rx)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("OTHER")
+    for i, words in enumerate(DOCUMENT_ORDER, 1):
+        hit = _one_of(low, [w for w in words if w != ".pdf"]) | (F.endswith(low, F.lit(".pdf")) if ".pdf" in words else F.lit(False))
+        out = F.when(hit, i) if out is None else out.when(hit, i)
+    return out.otherwise(len(DOCUMENT_ORDER) + 1)
+
+
+# Words in the address of an image that shows no product, and of one that shows it whole.
+NO_PRODUCT, WHOLE = "logo|icon|sprite|banner|social|facebook|twitter|placeholder|avatar|badge", "main|primary|hero|front"
+
+
+def ranked_images(df: DataFrame, key: str, images: str, mpn: str) -> DataFrame:
+    """The images that may show a product: ``url``, ``place`` and ``role`` (PRIMARY, then ALTERNATE); 2 for the part number in the address, 1 for a whole view, then the order given."""
+    u = df.select(key, F.lower(F.trim(mpn)).alias("_m"), F.posexplode(images).alias("_o", "url")).filter(F.col("url").isNotNull() & ~F.lower("url").rlike(NO_PRODUCT))
+    score = F.when((F.col("_m") != "") & F.contains(F.lower("url"), F.col("_m")), 2).otherwise(0) + F.when(F.lower("url").rlike(WHOLE), 1).otherwise(0)
+    f = u.withColumn("_s", score).groupBy(key, "url").agg(F.min("_o").alias("_o"), F.max("_s").alias("_s"))
+    f = f.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_s"), "_o")))
+    return f.select(key, "url", "place", F.when(F.col("place") == 1, "PRIMARY").otherwise("ALTERNATE").alias("role"))
 
 
 def descriptions(df: DataFrame) -> DataFrame:

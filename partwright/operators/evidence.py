@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwright.functions import text
+from partwright.session import broadcast_if_small
 
 # How much a source's word weighs, best first.
 AUTHORITY = ["AUTHORITATIVE", "HIGH", "MANUFACTURER_PAGE", "AUTHORIZED_DISTRIBUTOR", "SECONDARY", "UNKNOWN"]
@@ -54,13 +55,15 @@ def cited_unknown(proposals: DataFrame, cited: str, known: DataFrame, known_id:
     return spread.join(known.select(F.col(known_id).alias("_id")).distinct(), "_id", "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unknown"))
 
 
-def top_chunks(chunks: DataFrame, key: str, chunk_text: str, order: str, terms: DataFrame, term: str, term_key: str, k: int = 8) -> DataFrame:
-    """Per term set the chunks that hold its terms most often: ``term_key``, key, ``score``, ``place`` up to ``k``.
+def top_chunks(chunks: DataFrame, key: str, chunk_text: str, order: str, terms: DataFrame, term: str, term_key: str, k: int = 8, presence: bool = False) -> DataFrame:
+    """Per term set the chunks that hold its words most often: ``term_key``, key, ``score``, ``place`` up to ``k``.
 
-    Term sets are small and broadcast by the caller; scores are summed over terms before ranking.
+    Ties go to the earlier chunk.  With ``presence`` the score is the number of terms that occur at all,
+    and ties go to the later chunk.  Chunks are cut into words, which meet the terms by equality.
     """
-    scored = chunks.join(terms, F.contains(F.lower(F.col(chunk_text)), F.col(term)))
-    times = (F.length(F.lower(F.col(chunk_text))) - F.length(F.replace(F.lower(F.col(chunk_text)), F.col(term), F.lit("")))) / F.length(F.col(term))
-    total = scored.groupBy(term_key, key, order).agg(F.sum(times.cast("bigint")).alias("score"))
-    rank = Window.partitionBy(term_key).orderBy(F.desc("score"), order)
+    words = chunks.select(key, order, F.explode(F.split(F.lower(F.col(chunk_text)), r"[^\p{L}\p{N}]+")).alias(term))
+    words = words.groupBy(key, order, term).agg(F.count(F.lit(1)).alias("_n"))
+    met = words.join(broadcast_if_small(terms.select(term, term_key), terms.count()), term)
+    total = met.groupBy(term_key, key, order).agg((F.count(F.lit(1)) if presence else F.sum("_n")).alias("score"))
+    rank = Window.partitionBy(term_key).orderBy(F.desc("score"), F.desc(order) if presence else F.asc(order))
     return total.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= k).select(term_key, key, "score", "place")

@@ -106,3 +106,41 @@ def rule_for(asked: DataFrame, rules: DataFrame) -> DataFrame:
     out = out.join(tier(["leaf", "attribute"], "_b"), ["leaf", "attribute"], "left").join(tier(["attribute"], "_c"), ["attribute"], "left")
     tiers = F.when(F.col("_a").isNotNull(), "path").when(F.col("_b").isNotNull(), "leaf").when(F.col("_c").isNotNull(), "attribute")
     return out.withColumn("rule_id", F.coalesce("_a", "_b", "_c")).withColumn("tier", tiers).drop("_a", "_b", "_c")
+
+
+def brand_of_maker(asked: DataFrame, registry: DataFrame) -> DataFrame:
+    """Brand names looked for among one maker's brands: ``manufacturer_id``, ``key``, ``record_id``, ``reason``.
+
+    ``asked`` has manufacturer_id and key (canonical).  A maker without brands gives
+    'no_brands_for_manufacturer', a name that several of its brands share 'ambiguous'.
+    """
+    brands = registry.filter("record_kind = 'BRAND' and manufacturer_id is not null")
+    names = brands.select("manufacturer_id", "record_id", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    keys = names.select("manufacturer_id", "record_id", text.canonical_key(F.col("name")).alias("key")).filter("key != ''")
+    keys = keys.groupBy("manufacturer_id", "key").agg(F.countDistinct("record_id").alias("n"), F.min("record_id").alias("id"))
+    owners = brands.select("manufacturer_id", F.lit(True).alias("has")).distinct()
+    n = keys.count()
+    out = asked.join(broadcast_if_small(owners, n), "manufacturer_id", "left").join(broadcast_if_small(keys, n), ["manufacturer_id", "key"], "left")
+    reason = F.when(F.col("has").isNull(), "no_brands_for_manufacturer").when(F.col("n").isNull(), "unresolved").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return out.select("manufacturer_id", "key", F.when(F.col("n") == 1, F.col("id")).alias("record_id"), reason.alias("reason"))
+
+
+def category_rules(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """The first rule of the best tier for each ``classpath``: ``tier`` 1 same path, 2 one path within the other, 3 same leaf, 4 leaf within the path; null for none.
+
+    ``rules`` has path, leaf (both lower case) and rule_id, and is a fixed, small list; the equalities are
+    joined first, and only paths that none of them tells are compared with the list by containment.
+    """
+    n = rules.count()
+    q = asked.select("classpath", F.lower("classpath").alias("asked")).withColumn("own", F.trim(F.substring_index("asked", ">", -1)))
+    first = lambda *by: broadcast_if_small(rules.groupBy(*by).agg(F.min("rule_id").alias("_".join(by) + "_id")), n)
+    q = q.join(first("path").withColumnRenamed("path", "asked"), "asked", "left").join(first("leaf").withColumnRenamed("leaf", "own"), "own", "left")
+    rest = q.filter("path_id is null").select("classpath", "asked")
+    path, leaf = F.contains("asked", "path") | F.contains("path", "asked"), F.contains("asked", "leaf")
+    held = rest.join(F.broadcast(rules), path | leaf).groupBy("classpath").agg(F.min(F.when(path, F.col("rule_id"))).alias("within_id"), F.min(F.when(leaf, F.col("rule_id"))).alias("in_id"))
+    q = q.join(held, "classpath", "left")
+    tiers = ["path_id", "within_id", "leaf_id", "in_id"]
+    tier = F.when(F.lit(False), 0)
+    for i, c in enumerate(tiers, 1):
+        tier = tier.when(F.col(c).isNotNull(), i)
+    return q.select("classpath", tier.alias("tier"), F.coalesce(*tiers).alias("rule_id"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partwright.plans import catalogue, matching, preparation, profiling, relational
+from partwright.plans import catalogue, matching, preparation, profiling, records, relational
 
-_MODULES = (preparation, profiling, catalogue, matching, relational)
+_MODULES = (preparation, profiling, catalogue, matching, records, relational)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -194,16 +196,17 @@ def C22_support(spark, sf_dir):
 def T6_top_chunks(spark, sf_dir):
     """The documents that name each subject's words most often."""
     s = table(spark, sf_dir, "subject_areas")
-    terms = s.select("subject_id", F.explode(F.split("subject_name", " ")).alias("term")).filter("length(term) >= 4")
+    terms = s.select("subject_id", F.explode(F.split(F.lower("subject_name"), " ")).alias("term")).filter("length(term) >= 4").distinct()
     d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
-    return evidence.top_chunks(d.withColumn("ord", F.col("doc_id")), "doc_id", "text", "ord", F.broadcast(terms) if terms.count() <= 1000 else terms, "term", "subject_id")
+    return evidence.top_chunks(d.withColumn("ord", F.col("doc_id")), "doc_id", "text", "ord", terms, "term", "subject_id")
 
 
-T6_SQL = """
-WITH t AS (SELECT subject_id, unnest(string_split(subject_name, ' ')) AS term FROM subject_areas), w AS (SELECT * FROM t WHERE length(term) >= 4),
-s AS (SELECT subject_id, doc_id, sum((length(text) - length(replace(lower(text), term, ''))) // length(term)) AS score FROM documents JOIN w ON contains(lower(text), term) GROUP BY 1, 2),
+T6_SQL = r"""
+WITH t AS (SELECT subject_id, unnest(string_split(subject_name, ' ')) AS term FROM subject_areas), w AS (SELECT DISTINCT subject_id, lower(term) AS term FROM t WHERE length(term) >= 4),
+d AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL),
+s AS (SELECT subject_id, doc_id, count(*) AS score FROM d JOIN w USING (term) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, doc_id) AS place FROM s)
-SELECT subject_id, doc_id, CAST(score AS BIGINT) AS score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 8
+SELECT subject_id, doc_id, score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 8
 """
 
 
@@ -241,13 +244,6 @@ SELECT category, count(*) AS n_rows FROM c GROUP BY 1
 """
 
 
-def P3_triplets(spark, sf_dir):
-    return delivery.triplets(table(spark, sf_dir, "expected_products"), "record_id", "expected_attributes", 6)
-
-
-P3_SQL = "WITH e AS (SELECT record_id, list_sort(map_entries(expected_attributes)) AS a FROM expected_products) SELECT record_id, " + ", ".join(f"a[{i}].key AS label_{i}, a[{i}].value AS value_{i}" for i in range(1, 7)) + " FROM e"
-
-
 # The slots of the delivery file.
 SLOTS = 50
 
@@ -294,11 +290,24 @@ SELECT context_id, url, CAST(row_number() OVER (PARTITION BY context_id ORDER BY
 
 
 def C27_asset_types(spark, sf_dir):
-    u = delivery.ordered_urls(table(spark, sf_dir, "source_context"), "context_id", ["image_urls", "document_urls"])
-    return u.select("context_id", "place", delivery.asset_type(F.col("url")).alias("asset_type"))
+    """What each document of a page is, and whether it is about the page's product."""
+    p = table(spark, sf_dir, "source_context").select("context_id", "mpn", F.posexplode("document_urls").alias("o", "url")).filter("url is not null")
+    return p.select("context_id", (F.col("o") + 1).alias("place"), delivery.asset_type(F.col("url")).alias("asset_type"), delivery.association(F.col("url"), F.col("mpn")).alias("scope"), delivery.document_rank(F.col("url")).alias("rank"))
 
 
-C27_SQL = f"WITH x AS ({X5_SQL}) SELECT context_id, place, CASE WHEN regexp_matches(lower(url), 'sds|msds|safety-?data') THEN 'SAFETY_DATA' WHEN regexp_matches(lower(url), 'manual|instruction') THEN 'MANUAL' WHEN regexp_matches(lower(url), 'warranty') THEN 'WARRANTY' WHEN regexp_matches(lower(url), 'spec|data-?sheet') THEN 'SPECIFICATION' WHEN regexp_matches(lower(url), 'brochure|catalog') THEN 'BROCHURE' WHEN regexp_matches(lower(url), '\\.(jpg|jpeg|png|gif|webp)(\\?|$)') THEN 'IMAGE' ELSE 'OTHER' END AS asset_type FROM x"
+_DOCUMENTS = "SELECT context_id, mpn, unnest(document_urls) AS url, generate_subscripts(document_urls, 1) AS o FROM source_context"
+
+
+def _ladder(c: str, rungs: list[tuple[str, list[str]]], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{'|'.join(re.escape(w).replace(chr(39), chr(39) * 2) for w in words)}') THEN {name}" for name, words in rungs) + f" ELSE {other} END"
+
+
+C27_SQL = f"""
+SELECT context_id, CAST(o AS INTEGER) AS place, {_ladder("lower(url)", [(f"'{n}'", w) for n, w in delivery.ASSET_TYPES], "'other_document'")} AS asset_type,
+ CASE WHEN coalesce(trim(mpn), '') = '' OR contains(lower(url), lower(trim(mpn))) OR contains(regexp_replace(lower(url), '[-_ ]', '', 'g'), regexp_replace(lower(trim(mpn)), '[- ]', '', 'g')) OR NOT regexp_matches(lower(url), 'warranty|full line|general catalog|brochure') THEN 'PRODUCT_SPECIFIC' ELSE 'MANUFACTURER_GENERAL' END AS scope,
+ CAST({_ladder("lower(url)", [(str(i), [w for w in ws if w != '.pdf']) for i, ws in enumerate(delivery.DOCUMENT_ORDER[:4], 1)], "CASE WHEN lower(url) LIKE '%.pdf' OR regexp_matches(lower(url), 'document|download|/pdf') THEN 5 ELSE 6 END")} AS INTEGER) AS rank
+FROM ({_DOCUMENTS}) WHERE url IS NOT NULL
+"""
 
 
 def C16_descriptions(spark, sf_dir):
@@ -390,7 +399,7 @@ M18_SQL = "SELECT feed_source, count(*) AS n_rows, max((epoch_us(received_at) -
 _PAIRS = [
     (J1_tiered_resolution, J1_SQL), (J2_fuzzy, None), (J4_by_code, J4_SQL), (J6_only_parent, J6_SQL), (J12_longest_prefix, J12_SQL), (J7_rule_for, J7_SQL), (W1_forward_fill, W1_SQL), (A16_allowed_values, A16_SQL),
     (J14_domains, J14_SQL), (J16_uncovered_pages, J16_SQL), (J24_duplicate_classes, J24_SQL), (A11_conflicts, A11_SQL), (M8_settled, M8_SQL), (C22_support, None), (T6_top_chunks, T6_SQL), (A7_upper_median, A7_SQL),
-    (A9_feed_completeness, A9_SQL), (M5_completeness, M5_SQL), (F21_row_categories, F21_SQL), (P3_triplets, P3_SQL), (P3_attribute_slots, slots_sql(SLOTS)), (P3_beyond_slots, beyond_sql(SLOTS)), (X5_asset_urls, X5_SQL), (C27_asset_types, C27_SQL), (C16_descriptions, C16_SQL), (W3_rolling_load, W3_SQL),
+    (A9_feed_completeness, A9_SQL), (M5_completeness, M5_SQL), (F21_row_categories, F21_SQL), (P3_attribute_slots, slots_sql(SLOTS)), (P3_beyond_slots, beyond_sql(SLOTS)), (X5_asset_urls, X5_SQL), (C27_asset_types, C27_SQL), (C16_descriptions, C16_SQL), (W3_rolling_load, W3_SQL),
     (W7_failure_streaks, W7_SQL), (W3_admitted, None), (U5_cache_state, U5_SQL), (R5_load_once, R5_SQL), (K6_latest_records, K6_SQL), (A15_trace_totals, A15_SQL), (M18_late_rows, M18_SQL),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}

@@ -145,22 +145,28 @@ SELECT record_id, attribute_name, fraction FROM x JOIN t USING (d)
 
 def M4_identity_score(spark, sf_dir):
     """How well a page fits a delivered product: part number, maker, and words of the description in the title."""
-    d = rows(spark, sf_dir).groupBy("product_id").agg(F.min(F.struct("row_id", "mfg_part_num", "part_manuf", "part_desc")).alias("d"))
-    j = pages(spark, sf_dir).select("context_id", "product_id", "mpn", "manufacturer", "page_title").join(d, "product_id")
-    same = text.mpn_match(F.col("mpn"), F.col("d.mfg_part_num")).isin("EXACT", "NORMALIZED_EQUIVALENT").cast("double")
-    maker = F.coalesce((text.canonical_key(F.col("manufacturer")) == text.canonical_key(text.without_code(F.col("d.part_manuf")))).cast("double"), F.lit(0.0))
+    d = rows(spark, sf_dir).groupBy("product_id").agg(F.min(F.struct("row_id", "mfg_part_num", "part_manuf", "part_desc", "e1_brand")).alias("d"))
+    j = pages(spark, sf_dir).select("context_id", "product_id", "mpn", "manufacturer", "brand", "page_title").join(d, "product_id")
+    same = text.mpn_match(F.col("mpn"), F.col("d.mfg_part_num")).isin("EXACT", "NORMALIZED_EQUIVALENT")
+    maker = F.coalesce(text.canonical_key(F.col("manufacturer")) == text.canonical_key(text.without_code(F.col("d.part_manuf"))), F.lit(False))
+    brand = F.coalesce(text.canonical_key(F.col("brand")) == text.canonical_key(F.col("d.e1_brand")), F.lit(False))
+    title = F.coalesce(F.contains(F.lower("page_title"), F.lower(F.trim("mpn"))), F.lit(False))
     words = F.when(F.col("page_title").isNotNull() & F.col("d.part_desc").isNotNull(), text.overlap_share(F.col("d.part_desc"), F.col("page_title"))).otherwise(0.0)
-    return j.select("context_id", F.round(0.5 * same + 0.3 * maker + 0.2 * words, 3).alias("score"))
+    score = sum((F.when(c, w).otherwise(0.0) for w, c in ((0.5, same), (0.2, maker | brand), (0.1, maker & brand), (0.1, title), (0.1, words >= 0.15))), F.lit(0.0))
+    context = maker | brand | title | (words >= 0.15)
+    capped = F.when(same & ~context, F.least(score, F.lit(0.55))).otherwise(score)
+    verdict = F.when(same & context & (score >= 0.8), "EXACT_MATCH").when(same & context & (score >= 0.6), "STRONG_MATCH").when(same | (score >= 0.35), "WEAK_MATCH").otherwise("MISMATCH")
+    return j.select("context_id", F.bround(capped, 3).alias("score"), verdict.alias("classification"))
 
 
 def M7_running_budget(spark, sf_dir):
     """The running total of each user's events and whether it still lies within a budget."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    run = F.sum(F.round("value", 2).cast("decimal(18,2)")).over(Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.round("value", 2).cast("decimal(18,2)")).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     return e.select("event_id", run.cast("double").alias("spent"), (run <= 500).alias("within"))
 
 
-M7_SQL = "SELECT event_id, CAST(s AS DOUBLE) AS spent, s <= 500 AS within FROM (SELECT event_id, sum(CAST(round(value, 2) AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM events)"
+M7_SQL = "SELECT event_id, CAST(s AS DOUBLE) AS spent, s <= 500 AS within FROM (SELECT event_id, sum(CAST(round(value, 2) AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)"
 
 
 def X9_known_hosts(spark, sf_dir):
@@ -174,18 +180,15 @@ X9_SQL = r"WITH h AS (SELECT regexp_extract(lower(trim(canonical_product_url)),
 
 
 def F14_private_hosts(spark, sf_dir):
-    """Addresses that are refused: other schemes, or hosts of private networks."""
-    p = pages(spark, sf_dir).filter("canonical_product_url is not null").select("context_id", F.replace("canonical_product_url", F.lit("https://"), F.when(F.length("mpn") > 10, F.lit("http://10.0.0.7/")).otherwise(F.lit("ftp://"))).alias("u"), "canonical_product_url")
-    return p.select("context_id", urls.canonical(F.col("u")).isNull().alias("refused"), urls.canonical(F.col("canonical_product_url")).isNull().alias("refused_as_given"))
+    """Delivered maker addresses with whether they are refused: other schemes, no host, or a host of a private network."""
+    u = F.col("mfr_url")
+    return rows(spark, sf_dir).filter(u.isNotNull()).select("row_id", urls.canonical(u).isNull().alias("refused"))
 
 
-def P4_payload(spark, sf_dir):
-    """Each golden record as one JSON text with its attributes in order of their names."""
-    a = F.map_from_entries(F.array_sort(F.map_entries("expected_attributes")))
-    return table(spark, sf_dir, "expected_products").select("record_id", F.to_json(F.struct("record_id", "mpn", F.size("expected_attributes").alias("n"))).alias("payload"), F.array_join(F.map_keys(a), ",").alias("names"))
-
-
-P4_SQL = "SELECT record_id, '{\"record_id\":' || record_id || CASE WHEN mpn IS NULL THEN '' ELSE ',\"mpn\":' || to_json(mpn) END || ',\"n\":' || len(map_keys(expected_attributes)) || '}' AS payload, array_to_string(list_sort(map_keys(expected_attributes)), ',') AS names FROM expected_products WHERE expected_attributes IS NOT NULL"
+F14_SQL = r"""
+WITH u AS (SELECT row_id, lower(trim(mfr_url)) AS u, regexp_replace(regexp_extract(lower(trim(mfr_url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', '') AS h FROM delivery_rows WHERE mfr_url IS NOT NULL)
+SELECT row_id, NOT regexp_matches(u, '^https?://') OR h = '' OR regexp_matches(h, '^(localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|169\.254\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|0\.0\.0\.0|\[?::1\]?)$') AS refused FROM u
+"""
 
 
 def P4_attribute_payload(spark, sf_dir):
@@ -241,13 +244,13 @@ K7_SQL = "SELECT record_id, a AS attribute_name, substring(sha256(concat_ws('|',
 
 
 def C33_snippets(spark, sf_dir):
-    """The first 40 characters from where a mobile text names the part number."""
+    """The first 500 characters from where a mobile text names the part number."""
     r = rows(spark, sf_dir).filter("mfg_part_num is not null and mobile_desc is not null")
     at = F.instr(F.col("mobile_desc"), F.col("mfg_part_num"))
-    return r.filter(at > 0).select("row_id", F.substring("mobile_desc", at, F.lit(40)).alias("snippet"))
+    return r.filter(at > 0).select("row_id", F.substring("mobile_desc", at, F.lit(500)).alias("snippet"))
 
 
-C33_SQL = "SELECT row_id, substring(mobile_desc, instr(mobile_desc, mfg_part_num), 40) AS snippet FROM delivery_rows WHERE instr(mobile_desc, mfg_part_num) > 0"
+C33_SQL = "SELECT row_id, substring(mobile_desc, instr(mobile_desc, mfg_part_num), 500) AS snippet FROM delivery_rows WHERE instr(mobile_desc, mfg_part_num) > 0"
 
 
 def S12_master(spark, sf_dir):
@@ -263,7 +266,7 @@ S12_SQL = r"SELECT m.record_id AS manufacturer_id, m.canonical_name AS maker, tr
 
 _PAIRS = [
     (J11_family, J11_SQL), (J15_records_of_products, J15_SQL), (J21_mpn_in_description, J21_SQL), (J22_candidate_urls, J22_SQL), (X2_missing_attributes, X2_SQL), (W5_image_roles, W5_SQL), (T8_spec_line, None), (C8_code_tokens, C8_SQL),
-    (C15_features, C15_SQL), (C19_description_checks, C19_SQL), (M3_fraction_table, M3_SQL), (M4_identity_score, None), (M7_running_budget, M7_SQL), (X9_known_hosts, X9_SQL), (F14_private_hosts, None), (P4_payload, P4_SQL), (P4_attribute_payload, P4_ATTRIBUTE_SQL),
+    (C15_features, C15_SQL), (C19_description_checks, C19_SQL), (M3_fraction_table, M3_SQL), (M4_identity_score, None), (M7_running_budget, M7_SQL), (X9_known_hosts, X9_SQL), (F14_private_hosts, F14_SQL), (P4_attribute_payload, P4_ATTRIBUTE_SQL),
     (P10_snapshot, P10_SQL), (K7_stable_ids, K7_SQL), (C33_snippets, C33_SQL), (S12_master, S12_SQL),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}

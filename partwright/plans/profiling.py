@@ -98,15 +98,13 @@ X4_SQL = f"WITH h AS (SELECT row_id, {_HASH} AS row_hash FROM delivery_rows), f
 
 
 def S5_unique_headers(spark, sf_dir):
-    """Header names as data: the known attributes of each record numbered where they repeat."""
-    names = table(spark, sf_dir, "lov_rules").select("rule_id", F.col("attribute_label").alias("header"))
-    from pyspark.sql import Window
+    """The rule table's labels as the header of one sheet, every third one left blank, made usable."""
+    labels = table(spark, sf_dir, "lov_rules").select("rule_id", F.when(F.col("rule_id") % 3 != 0, F.col("attribute_label")).alias("h")).orderBy("rule_id").collect()
+    names = profile.unique_headers([r["h"] for r in labels])
+    return spark.createDataFrame([(r["rule_id"], n) for r, n in zip(labels, names)], "rule_id int, name string")
 
-    k = F.row_number().over(Window.partitionBy("header").orderBy("rule_id"))
-    return names.select("rule_id", F.when(k == 1, F.col("header")).otherwise(F.concat("header", F.lit("#"), k)).alias("name"))
 
-
-S5_SQL = "WITH k AS (SELECT rule_id, attribute_label AS h, row_number() OVER (PARTITION BY attribute_label ORDER BY rule_id) AS k FROM lov_rules) SELECT rule_id, CASE WHEN k = 1 THEN h ELSE h || '#' || k END AS name FROM k"
+S5_SQL = "WITH h AS (SELECT rule_id, CASE WHEN rule_id % 3 <> 0 THEN trim(attribute_label) ELSE '__unnamed_' || row_number() OVER (ORDER BY rule_id) END AS h FROM lov_rules), k AS (SELECT rule_id, h, row_number() OVER (PARTITION BY h ORDER BY rule_id) AS k FROM h) SELECT rule_id, CASE WHEN k = 1 THEN h ELSE h || '#' || k END AS name FROM k"
 
 
 def C1_normalize_text(spark, sf_dir):
@@ -118,19 +116,22 @@ C1_SQL = f"SELECT row_id, {_COLLAPSE.format(c='part_desc')} AS collapsed, {_KEY.
 
 
 def C4_mpn_hypotheses(spark, sf_dir):
-    h = identifiers.mpn_hypotheses(F.col("mfg_part_num"))
-    return rows(spark, sf_dir).filter("trim(mfg_part_num) != ''").select("row_id", F.posexplode(h).alias("at", "h")).select("row_id", (F.col("at") + 1).alias("place"), "h.value", "h.kind", "h.confidence")
+    h = identifiers.mpn_hypotheses(F.col("mfg_part_num"), F.col("part_manuf"))
+    return rows(spark, sf_dir).select("row_id", F.posexplode(h).alias("at", "h")).select("row_id", (F.col("at") + 1).alias("place"), "h.*")
 
 
 C4_SQL = r"""
-WITH m AS (SELECT row_id, trim(mfg_part_num) AS raw FROM delivery_rows WHERE trim(mfg_part_num) <> ''),
-b AS (SELECT *, regexp_replace(raw, '[\s._/-]+', '', 'g') AS bare, regexp_extract(raw, '^[A-Za-z0-9]{2,6}[-_](.+)$', 1) AS pre FROM m),
-u AS (SELECT row_id, 1 AS o, raw AS value, 'RAW' AS kind, 1.0 AS confidence FROM b
-  UNION ALL SELECT row_id, 2, bare, 'SEPARATORS_STRIPPED', 0.98 FROM b WHERE length(bare) >= 3 AND lower(bare) <> lower(raw)
-  UNION ALL SELECT row_id, 3, pre, 'PREFIX_STRIPPED', 0.5 FROM b WHERE pre <> '' AND lower(pre) <> lower(raw)
-  UNION ALL SELECT row_id, 4, d, 'EMBEDDED_DIGITS', 0.4 FROM (SELECT row_id, raw, unnest(regexp_extract_all(raw, '\b(\d{8,10})\b', 1)) AS d FROM b) WHERE d <> raw),
-f AS (SELECT *, row_number() OVER (PARTITION BY row_id, lower(value) ORDER BY o) AS r FROM u)
-SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY o) AS INTEGER) AS place, value, kind, CAST(confidence AS DOUBLE) AS confidence FROM f WHERE r = 1
+WITH m AS (SELECT row_id, regexp_replace(mfg_part_num, '^\s+|\s+$', '', 'g') AS raw, regexp_matches(lower(coalesce(part_manuf, '')), '3m|jam industrial') AS known FROM delivery_rows),
+b AS (SELECT *, regexp_replace(raw, '[-_\s/.]+', '', 'g') AS bare, regexp_extract(raw, '^([A-Za-z0-9]{2,6})[-_]([A-Za-z0-9._/-]+)$', 1) AS head, regexp_extract(raw, '^([A-Za-z0-9]{2,6})[-_]([A-Za-z0-9._/-]+)$', 2) AS tail FROM m WHERE raw <> ''),
+p AS (SELECT *, known AND (starts_with(upper(head), '3M') OR regexp_matches(tail, '^\d{8,10}$')) AS prefixed, regexp_replace(tail, '[-_\s/.]+', '', 'g') AS bare_tail FROM b),
+u AS (SELECT row_id, 1 AS o, 0 AS i, raw AS value, 'raw' AS kind, 1.0 AS confidence, TRUE AS lossless, TRUE AS identity_eligible, 'raw_input' AS rule FROM p
+  UNION ALL SELECT row_id, 2, 0, bare, 'lossless_normalized', 0.98, TRUE, TRUE, 'lossless_separator_removal' FROM p WHERE length(bare) >= 3 AND bare <> raw
+  UNION ALL SELECT row_id, 3, 0, tail, CASE WHEN prefixed THEN 'verified_manufacturer_transform' ELSE 'exploratory_prefix_strip' END, CASE WHEN prefixed THEN 0.9 ELSE 0.5 END, FALSE, prefixed, CASE WHEN prefixed THEN 'known_3m_distributor_prefix' ELSE 'generic_prefix_strip' END FROM p WHERE length(tail) >= 3
+  UNION ALL SELECT row_id, 4, i, d, CASE WHEN known THEN 'verified_manufacturer_transform' ELSE 'exploratory_numeric_extraction' END, CASE WHEN known THEN 0.9 ELSE 0.4 END, FALSE, known, CASE WHEN known THEN 'known_3m_numeric_id' ELSE 'generic_numeric_core' END
+    FROM (SELECT row_id, known, unnest(regexp_extract_all(raw, '\b(\d{8,10})\b', 1)) AS d, generate_subscripts(regexp_extract_all(raw, '\b(\d{8,10})\b', 1), 1) AS i FROM p)
+  UNION ALL SELECT row_id, 5, 0, bare_tail, 'exploratory_compact', 0.35, FALSE, FALSE, 'exploratory_compact' FROM p WHERE regexp_matches(tail, '[-_\s/.]') AND length(bare_tail) >= 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY row_id, lower(value) ORDER BY o, i) AS r FROM u)
+SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY o, i) AS INTEGER) AS place, value, kind, CAST(confidence AS DOUBLE) AS confidence, lossless, identity_eligible, rule FROM f WHERE r = 1
 """
 
 

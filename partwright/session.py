@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,20 @@ def local_session(cores: int | str = "*", shuffle: int = 8, app: str = "partwrig
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors once a session, so that Python workers find it whatever their folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_partwright_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "partwright"), "zip", os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(made)
+    sc._partwright_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the given folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -131,7 +133,23 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def upsert_parquet(df: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """Write the last version of each key."""
+    """Add a batch to a table: of each key the last version by ``order``, over what the table holds and the batch.
+
+    The new state is written beside the table and then takes its place by renaming, so that readers of the
+    old files and a run that fails halfway lose nothing.  A table that is not there yet is made.
+    """
     from partwright.operators.timeline import latest
 
-    latest(df, keys, [order]).write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    every = spark.read.parquet(path).unionByName(df, allowMissingColumns=True) if fs.exists(at) else df
+    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    latest(every, keys, [order]).write.parquet(new.toString())
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} could not be moved")
+    if not fs.rename(new, at):
+        fs.rename(old, at)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(old, True)

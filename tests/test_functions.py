@@ -26,7 +26,7 @@ def test_nfkc(spark):
 
 def test_hypotheses(spark):
     h = one(spark, identifiers.mpn_hypotheses(F.col("m")), m="3MABR-7100075678")
-    assert [(x.value, x.kind) for x in h] == [("3MABR-7100075678", "RAW"), ("3MABR7100075678", "SEPARATORS_STRIPPED"), ("7100075678", "PREFIX_STRIPPED")]
+    assert [(x.value, x.kind) for x in h] == [("3MABR-7100075678", "raw"), ("3MABR7100075678", "lossless_normalized"), ("7100075678", "exploratory_prefix_strip")]
 
 
 def test_urls(spark):
