@@ -28,6 +28,12 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What told the cut values of each field: a structural sign, another field of the record, or only the missing terminator."""
+    told = F.when(F.col("broken"), "structure").when(F.col("cut"), "other field").otherwise("terminator")
+    return _judged(spark, sf_dir).filter("is_cut").groupBy("field_name", told.alias("evidence")).agg(F.count(F.lit(1)).alias("n_values"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_names(table(spark, sf_dir, "delivery_rows"), "row_id", NAME_FIELDS, table(spark, sf_dir, "registry_records"))
 
@@ -89,7 +95,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = (p2_found, p2_rates, p5_found, p5_unmatched, p6_found, p7_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_composition)
+_QUERIES = (p2_found, p2_rates, p2_evidence, p5_found, p5_unmatched, p6_found, p7_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_composition)
 _SQL: dict[str, str] = {}
 
 

@@ -27,8 +27,10 @@ BROKEN_END = r"(?:\s*(?:\.\.\.|…)|�+|&(?:[a-z]{1,7}|#[0-9a-fx]*)?|<[/!]?[a-z
 # Signs without which the longer expression need not be tried.
 _SUSPECT = r"[&<\\%…�]|\.\.\.$"
 _OPENING_QUOTE = r'(?<![^\s(\[{])"(?=[^\s"])'
-_PARTIAL_SUFFIX = r"(?:\s*\([^()]*\)?|,(?: (?:s|so|sol|sold\b.*|m|ma|mad|made\b.*|f|fr|fro|from\b.*)?)?)$"
-_WHOLE_SUFFIX = r"^(?: \([^()\s][^()]*\)|, (?:sold by|made by|from) .+\. item \S+\.)$"
+# What may follow the common text: a reference in brackets, or a clause behind a comma that a short word opens and a full stop ends.
+_PARTIAL_SUFFIX = r"(?:\s*\([^()]*\)?|,(?: [a-z]{1,4}(?: .*)?)?)$"
+_WHOLE_SUFFIX = r"^(?: \([^()\s][^()]*\)|, [a-z]{1,4} .+\.)$"
+_DONE = r"\S \([^()\s][^()]*\)$|, [a-z]{1,4} .+\.$"
 
 
 def unclosed(text: Column) -> Column:
@@ -112,7 +114,7 @@ def completeness(df: DataFrame, base: str, carriers: dict[str, bool], reference:
         if more:
             numbered = F.coalesce(F.endswith(head, F.concat(F.col("_num"), F.lit(" "))), F.lit(True))
             good = has & (rest.rlike(_WHOLE_SUFFIX) | ((rest == "") & numbered))
-            done = text.rlike(r"\S \([^()\s][^()]*\)$|, (?:sold by|made by|from) .+\. item \S+\.$")
+            done = text.rlike(_DONE)
             out.append(verdict(c, text, usable & ~good & ~done, done | (usable & good & full.eqNullSafe(F.col("_r"))), F.when(done, F.lit(")")).otherwise(F.trim(F.col(c)))))
         else:
             # only the reference bears witness: other fields are cut at the same place where their limits agree
