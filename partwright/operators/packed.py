@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwright.session import broadcast_if_small, cut
+from partwright.session import cut, join_values
 
 # The signs that part one value from the next, longest first.
 DELIMITERS = ["->", ">>", "::", ">", "|", "/", "\\", ",", ";", "»", "~", "\t"]
@@ -159,12 +159,14 @@ def split_packed(df: DataFrame, key: str, value: str, known: list[str]) -> DataF
     blank fields give no row, empty values are neither given nor counted, repeated rows are split
     each on their own, other columns are ignored, an empty table gives an empty result.  ``known``
     lists names that may hold delimiters.  The rules are as many as there are skeletons; they are
-    written once, counted, and broadcast only within ``session.BROADCAST_ROWS``.
+    written once, counted, and broadcast only within the bounds of ``session``; beyond them common
+    skeletons are kept out of the shuffle.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    rules = cut(splitting_rules(rows, "_value", known).select(F.col("skeleton").alias("_skeleton"), "segments"))
+    rules = cut(splitting_rules(rows, "_value", known).select(F.col("skeleton").alias("_skeleton"), "segments", "values"))
+    total = rules.agg(F.coalesce(F.sum("values"), F.lit(0)).alias("t")).first()["t"]
     cells = tokenised(rows, "_value", known).select("_key", "_tokens", "_skeleton")
-    return _extract(cells.join(broadcast_if_small(rules, rules.count()), "_skeleton"), key)
+    return _extract(join_values(cells, rules, ["_skeleton"], "values", total), key)
 
 
 def _extract(joined: DataFrame, key: str) -> DataFrame:

@@ -103,7 +103,8 @@ def join_values(rows: DataFrame, mapping: DataFrame, on: list[str], count: str,
     A mapping within the bound is broadcast.  Beyond it the values that hold at least a thousandth of
     the rows (there can be no more than a thousand) are broadcast and only the others are shuffled.
     """
-    if mapping.count() <= bound:
+    n = mapping.count()
+    if n <= bound and n * row_bytes(mapping) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(mapping.drop(count)), on)
     hot = mapping.filter(F.col(count) >= total / 1000)
     cold = mapping.filter(F.col(count) < total / 1000)
