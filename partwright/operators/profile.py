@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwright.functions import identifiers, text
+from partwright.session import join_values
 
 
 def detected_type(c: Column) -> Column:
@@ -53,7 +54,7 @@ def resent(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows whose content (by row hash over ``columns``) was seen under a smaller key: key, ``first_key``, ``row_hash``."""
     hashed = df.select(key, identifiers.row_hash(*[F.col(c) for c in columns]).alias("row_hash"))
     first = hashed.groupBy("row_hash").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return hashed.join(first.drop("n"), "row_hash").filter(F.col(key) > F.col("first_key")).select(key, "first_key", "row_hash")
+    return join_values(hashed, first, ["row_hash"], "n", df.count()).filter(F.col(key) > F.col("first_key")).select(key, "first_key", "row_hash")
 
 
 def duplicate_groups(df: DataFrame, column: str) -> DataFrame:

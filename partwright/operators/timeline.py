@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,40 @@ def rolling_load(events: DataFrame, by: list[str], ts: str, seconds: int = 60) -
     return timed.unionByName(untimed)
 
 
+def running_sum(events: DataFrame, by: str, ts: str, tie: str, value: Column, days: int = 1) -> DataFrame:
+    """Each event with ``running``, the sum of ``value`` over its key up to it in the order of time and ``tie``.
+
+    Time is cut into stretches of ``days``: the sums before a stretch come from one row for each stretch, so
+    that a key with very many events is spread over its stretches.  Null values count as nothing.
+    """
+    cut_at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (days * 86_400_000_000))
+    rows = events.withColumn("_d", F.coalesce(cut_at, F.lit(-(1 << 40)))).withColumn("_v", value)
+    inner = F.sum("_v").over(Window.partitionBy(by, "_d").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.groupBy(F.col(by).alias("_by"), F.col("_d").alias("_day")).agg(F.sum("_v").alias("_s"))
+    before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy("_by").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
+    joined = rows.withColumn("_in", inner).join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_d") == F.col("_day")))
+    total = F.when(F.col("_in").isNotNull() | F.col("_before").isNotNull(), F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    return joined.withColumn("running", total).drop("_d", "_v", "_in", "_by", "_day", "_s", "_before")
+
+
+def sessions(events: DataFrame, by: str, ts: str, gap_seconds: int, days: int = 7) -> DataFrame:
+    """Each event with ``session``, numbered from 0 in its key: a new one begins after more than ``gap_seconds`` without events.
+
+    Gaps are counted within stretches of ``days``, and between them from one row for each stretch, so that a
+    key with very many events is spread over its stretches.  Events without a time are left out.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.filter(F.col(ts).isNotNull()).withColumn("_us", us).withColumn("_d", F.floor(us / (days * 86_400_000_000)))
+    w = Window.partitionBy(by, "_d").orderBy("_us")
+    rows = rows.withColumn("_gap", (F.coalesce(F.col("_us") - F.lag("_us").over(w), F.lit(0)) > gap_seconds * 1_000_000).cast("bigint")).withColumn("_in", F.sum("_gap").over(w))
+    per = rows.groupBy(F.col(by).alias("_by"), F.col("_d").alias("_day")).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.sum("_gap").alias("_n"))
+    order = Window.partitionBy("_by").orderBy("_day")
+    fresh = (F.coalesce(F.col("_lo") - F.lag("_hi").over(order), F.lit(0)) > gap_seconds * 1_000_000).cast("bigint")
+    per = per.withColumn("_new", fresh + F.coalesce(F.lag("_n").over(order), F.lit(0))).withColumn("_before", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = rows.join(per.select("_by", "_day", "_before"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_d") == F.col("_day")))
+    return joined.withColumn("session", F.col("_in") + F.col("_before")).drop("_us", "_d", "_gap", "_in", "_by", "_day", "_before")
+
+
 def admitted(events: DataFrame, key: str, ts: str, weight: str, max_events: int, max_weight: float, seconds: int = 60) -> DataFrame:
     """Sequential admission: an event passes while the admitted ones of the last ``seconds`` leave room for it.
 

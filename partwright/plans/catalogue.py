@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from partwright.functions import numbers, text, urls
 from partwright.operators import delivery, evidence, nested, registry, timeline
 from partwright.plans.profiling import RAW, _COLLAPSE, _KEY, rows
-from partwright.session import table
+from partwright.session import join_values, table
 
 _NAMES = "SELECT record_id, record_kind, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS name FROM registry_records"
 
@@ -142,7 +142,8 @@ def J24_duplicate_classes(spark, sf_dir):
     r = rows(spark, sf_dir).select("row_id", F.upper(F.trim("mfg_part_num")).alias("k"), F.lower(F.trim(text.without_code(F.col("part_manuf")))).alias("m")).filter("k != ''")
     c = r.groupBy("k").agg(F.min("row_id").alias("class_id"), F.count(F.lit(1)).alias("n_members"), F.count("m").alias("n_named"), F.min("m").alias("lo"), F.max("m").alias("hi")).filter("n_members > 1")
     verdict = F.when((F.col("lo") == F.col("hi")) & (F.col("n_named") == F.col("n_members")), "EXACT").otherwise("POSSIBLE")
-    return r.join(c.withColumn("verdict", verdict), "k").select("row_id", "class_id", "n_members", "verdict")
+    classes = c.select("k", "class_id", "n_members", verdict.alias("verdict"), F.col("n_members").alias("_n"))
+    return join_values(r, classes, ["k"], "_n", r.count()).select("row_id", "class_id", "n_members", "verdict")
 
 
 J24_SQL = r"""

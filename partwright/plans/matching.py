@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partwright.functions import identifiers, numbers, text, urls
-from partwright.operators import delivery
+from partwright.operators import delivery, timeline
 from partwright.plans.profiling import RAW, _COLLAPSE, _KEY, rows
-from partwright.session import broadcast_if_small, table
+from partwright.session import broadcast_if_small, join_values, table
 
 # What a description says about a product's family, first match counts.
 FAMILIES = [("fasteners", r"\b(screw|bolt|nut|washer|rivet|anchor)\b"), ("abrasives", r"\b(disc|belt|sponge|abrasive|wheel)\b"), ("power tools", r"\b(drill|saw|grinder|router|planer)\b"), ("plumbing", r"\b(valve|pump|faucet|drain|pipe)\b")]
@@ -40,8 +40,8 @@ J15_SQL = "SELECT coalesce(e.product_id, s.product_id) AS product_id, records, c
 def J21_mpn_in_description(spark, sf_dir):
     """Delivered part numbers that stand as a whole token in a description; an equality join on exploded tokens."""
     t = rows(spark, sf_dir).filter("part_desc is not null").select("row_id", F.explode(F.array_distinct(F.regexp_extract_all("part_desc", F.lit(r"[A-Za-z0-9][A-Za-z0-9._/-]*"), F.lit(0)))).alias("tok")).select("row_id", F.upper("tok").alias("k")).distinct()
-    m = rows(spark, sf_dir).filter("length(mfg_part_num) >= 5").groupBy(F.upper("mfg_part_num").alias("k")).agg(F.min("product_id").alias("first_product"))
-    return t.join(m, "k").select("row_id", "k", "first_product")
+    m = rows(spark, sf_dir).filter("length(mfg_part_num) >= 5").groupBy(F.upper("mfg_part_num").alias("k")).agg(F.min("product_id").alias("first_product"), F.count(F.lit(1)).alias("n"))
+    return join_values(t, m, ["k"], "n", rows(spark, sf_dir).count()).select("row_id", "k", "first_product")
 
 
 J21_SQL = "WITH t AS (SELECT DISTINCT row_id, upper(x) AS k FROM (SELECT row_id, unnest(regexp_extract_all(part_desc, '[A-Za-z0-9][A-Za-z0-9._/-]*')) AS x FROM delivery_rows WHERE part_desc IS NOT NULL)), m AS (SELECT upper(mfg_part_num) AS k, min(product_id) AS first_product FROM delivery_rows WHERE length(mfg_part_num) >= 5 GROUP BY 1) SELECT row_id, k, first_product FROM t JOIN m USING (k)"
@@ -162,8 +162,8 @@ def M4_identity_score(spark, sf_dir):
 def M7_running_budget(spark, sf_dir):
     """The running total of each user's events and whether it still lies within a budget."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    run = F.sum(F.round("value", 2).cast("decimal(18,2)")).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return e.select("event_id", run.cast("double").alias("spent"), (run <= 500).alias("within"))
+    run = timeline.running_sum(e, "user_id", "ts", "event_id", F.round("value", 2).cast("decimal(18,2)"))
+    return run.select("event_id", F.col("running").cast("double").alias("spent"), (F.col("running") <= 500).alias("within"))
 
 
 M7_SQL = "SELECT event_id, CAST(s AS DOUBLE) AS spent, s <= 500 AS within FROM (SELECT event_id, sum(CAST(round(value, 2) AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)"

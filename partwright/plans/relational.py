@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from partwright.operators import timeline
 from partwright.session import table
 
 
@@ -81,9 +82,7 @@ ASOF_SQL = "SELECT e.event_id, e.user_id, p.event_id AS purchase_id FROM (SELECT
 def Q_sessions(spark, sf_dir):
     """Sessions of users parted by a day without events."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy("ts")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    s = e.withColumn("session", F.sum(F.when(F.coalesce(gap, F.lit(0)) > 86_400_000_000, 1).otherwise(0)).over(w))
+    s = timeline.sessions(e, "user_id", "ts", 86_400)
     return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
 
 

@@ -87,3 +87,21 @@ def test_category_tiers(spark):
     asked = spark.createDataFrame([("Tools > Saws",), ("Shop > Tools > Saws > Big",), ("Garden > Drills",), ("House Paints",), ("Nothing",)], "classpath string")
     got = {r.classpath: (r.tier, r.rule_id) for r in registry.category_rules(asked, rules).collect()}
     assert got == {"Tools > Saws": (1, 1), "Shop > Tools > Saws > Big": (2, 1), "Garden > Drills": (3, 2), "House Paints": (2, 3), "Nothing": (None, None)}
+
+
+def test_running_sums_and_sessions(spark):
+    import random
+
+    from partwright.operators import timeline
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice(["a", "b", None]), 1_700_000_000 + rnd.randrange(40) * 40_000, rnd.choice([1.0, 2.5, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id int, user string, s bigint, value double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: r for r in timeline.sessions(timeline.running_sum(df, "user", "ts", "event_id", F.col("value")), "user", "ts", 86_400).collect()}
+    for user in ("a", "b", None):
+        total, session, last = None, 0, None
+        for i, _, s, v in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+            total = v if total is None else total + (v or 0)
+            session += last is not None and s - last > 86_400
+            last = s
+            assert got[i].running == total and got[i].session == session
