@@ -91,6 +91,12 @@ def T8_spec_line(spark, sf_dir):
     return table(spark, sf_dir, "expected_products").select("record_id", text.truncate_words(parts, 60).alias("line"))
 
 
+T8_SQL = """
+WITH p AS (SELECT record_id, list_transform(list_filter(list_sort(map_entries(expected_attributes)), lambda e: trim(e.value) <> ''), lambda e: e.key || ': ' || trim(e.value)) AS p FROM expected_products)
+SELECT record_id, CASE WHEN p IS NULL THEN NULL WHEN len(p) = 0 THEN '' ELSE rtrim(substring(list_reduce(p, lambda a, x: CASE WHEN length(a) + length(x) + 2 <= 60 THEN a || ', ' || x ELSE a END), 1, 60)) END AS line FROM p
+"""
+
+
 def C8_code_tokens(spark, sf_dir):
     """Whether a description holds its part number as a token of its own."""
     d, m = F.upper("part_desc"), F.upper(F.trim("mfg_part_num"))
@@ -159,6 +165,20 @@ def M4_identity_score(spark, sf_dir):
     return j.select("context_id", F.bround(capped, 3).alias("score"), verdict.alias("classification"))
 
 
+_LETTERS = r"regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_NAMED = r"regexp_replace(d.part_manuf, '\s*\([A-Za-z0-9-]+\)\s*$', '')"
+M4_SQL = rf"""
+WITH d AS (SELECT * FROM delivery_rows QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY row_id) = 1),
+j AS (SELECT context_id, coalesce({_LETTERS.format(c='s.mpn')} = {_LETTERS.format(c='d.mfg_part_num')} AND {_LETTERS.format(c='s.mpn')} <> '', FALSE) AS same,
+ coalesce({_KEY.format(c='s.manufacturer')} = {_KEY.format(c=_NAMED)}, FALSE) AS maker, coalesce({_KEY.format(c='s.brand')} = {_KEY.format(c='d.e1_brand')}, FALSE) AS brand,
+ coalesce(contains(lower(page_title), lower(trim(s.mpn))), FALSE) AS title, lower(page_title) AS t, list_distinct(list_filter(string_split({_KEY.format(c='d.part_desc')}, ' '), lambda w: length(w) >= 4)) AS w FROM source_context s JOIN d USING (product_id)),
+o AS (SELECT *, coalesce(CASE WHEN t IS NOT NULL AND len(w) > 0 THEN len(list_filter(w, lambda x: contains(t, x))) / len(w) END, 0) >= 0.15 AS overlap FROM j),
+c AS (SELECT *, CASE WHEN same THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN maker OR brand THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN maker AND brand THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN title THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN overlap THEN 0.1::DOUBLE ELSE 0 END AS score, maker OR brand OR title OR overlap AS context FROM o)
+SELECT context_id, round_even(CASE WHEN same AND NOT context THEN least(score, 0.55) ELSE score END, 3)::DOUBLE AS score,
+ CASE WHEN same AND context AND score >= 0.8 THEN 'EXACT_MATCH' WHEN same AND context AND score >= 0.6 THEN 'STRONG_MATCH' WHEN same OR score >= 0.35 THEN 'WEAK_MATCH' ELSE 'MISMATCH' END AS classification FROM c
+"""
+
+
 def M7_running_budget(spark, sf_dir):
     """The running total of each user's events and whether it still lies within a budget."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
@@ -265,8 +285,8 @@ def S12_master(spark, sf_dir):
 S12_SQL = r"SELECT m.record_id AS manufacturer_id, m.canonical_name AS maker, trim(regexp_replace(m.canonical_name, '\s+(Inc|LLC|Ltd|Co|Corp|GmbH)\.?$', '')) AS short_name, b.canonical_name AS brand FROM registry_records m LEFT JOIN registry_records b ON b.manufacturer_id = m.record_id AND b.record_kind = 'BRAND' WHERE m.record_kind = 'MANUFACTURER'"
 
 _PAIRS = [
-    (J11_family, J11_SQL), (J15_records_of_products, J15_SQL), (J21_mpn_in_description, J21_SQL), (J22_candidate_urls, J22_SQL), (X2_missing_attributes, X2_SQL), (W5_image_roles, W5_SQL), (T8_spec_line, None), (C8_code_tokens, C8_SQL),
-    (C15_features, C15_SQL), (C19_description_checks, C19_SQL), (M3_fraction_table, M3_SQL), (M4_identity_score, None), (M7_running_budget, M7_SQL), (X9_known_hosts, X9_SQL), (F14_private_hosts, F14_SQL), (P4_attribute_payload, P4_ATTRIBUTE_SQL),
+    (J11_family, J11_SQL), (J15_records_of_products, J15_SQL), (J21_mpn_in_description, J21_SQL), (J22_candidate_urls, J22_SQL), (X2_missing_attributes, X2_SQL), (W5_image_roles, W5_SQL), (T8_spec_line, T8_SQL), (C8_code_tokens, C8_SQL),
+    (C15_features, C15_SQL), (C19_description_checks, C19_SQL), (M3_fraction_table, M3_SQL), (M4_identity_score, M4_SQL), (M7_running_budget, M7_SQL), (X9_known_hosts, X9_SQL), (F14_private_hosts, F14_SQL), (P4_attribute_payload, P4_ATTRIBUTE_SQL),
     (P10_snapshot, P10_SQL), (K7_stable_ids, K7_SQL), (C33_snippets, C33_SQL), (S12_master, S12_SQL),
 ]
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
