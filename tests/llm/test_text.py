@@ -294,12 +294,25 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
 
 
+def test_leaks_without_names(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    plain = [word() for _ in range(30)]
+    items = [(1, " ".join(plain)), (2, "Brimowick asked Kortudal to clear 77-11 drains and Zanlatex to close 81-2 valves " + " ".join(word() for _ in range(30)))]
+    leak = " ".join([word() for _ in range(9)] + plain[4:26])
+    gap = items[1][1].split()[14:38]
+    docs = [(1, leak), (2, " ".join(gap)), (3, " ".join(word() for _ in range(50)))] + [(10 + i, "the pump is near the valve") for i in range(400)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, "doc_id", "text", i, "item_id", "text").filter("n_words >= 20").collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
 def test_carried_against_brute_force():
     rnd = random.Random(5)
     item = [f"w{rnd.randint(0, 30)}" for _ in range(40)]
     doc = [f"w{rnd.randint(0, 30)}" for _ in range(60)]
     doc[10:35] = item[5:30]
-    telling = [w in ("w3", "w7", "w11") for w in item]
+    telling = [2 * (w in ("w3", "w7", "w11")) for w in item]
     n = leakage.carried(item, telling, doc, [5])
     assert n >= 25 if any(telling[5:30]) else n == 0
 
