@@ -116,36 +116,35 @@ def page_facts(html: str) -> list[tuple[str, str, str]]:
     page.block()
     out = list(page.facts)
 
-    def walk(node, path: str, depth: int = 0):
-        if depth > 40:
-            return
-        if isinstance(node, list):
-            for x in node:
-                walk(x, path, depth + 1)
-        elif isinstance(node, dict):
-            for k, v in node.items():
-                walk(v, f"{path}.{k}" if path else str(k), depth + 1)
-        elif node is not None:
-            out.append(("product", path, str(node).strip()))
-
-    def products(node, depth: int = 0):
-        if depth > 40:
-            return
-        if isinstance(node, list):
-            for x in node:
-                products(x, depth + 1)
-        elif isinstance(node, dict):
-            kinds = node.get("@type")
-            if "Product" in (kinds if isinstance(kinds, list) else [kinds]):
-                walk({k: v for k, v in node.items() if not k.startswith("@")}, "")
-            else:
-                products(node.get("@graph"), depth + 1)
+    def walk(top) -> None:
+        todo = [(top, "")]
+        while todo:
+            node, path = todo.pop()
+            if isinstance(node, list):
+                todo += [(x, path) for x in reversed(node)]
+            elif isinstance(node, dict):
+                todo += [(v, f"{path}.{k}" if path else str(k)) for k, v in reversed(node.items())]
+            elif node is not None:
+                out.append(("product", path, str(node).strip()))
+
+    def products(top) -> None:
+        todo = [top]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, list):
+                todo += reversed(node)
+            elif isinstance(node, dict):
+                kinds = node.get("@type")
+                if "Product" in (kinds if isinstance(kinds, list) else [kinds]):
+                    walk({k: v for k, v in node.items() if not k.startswith("@")})
+                else:
+                    todo.append(node.get("@graph"))
 
     for kind, _, text in page.facts:
         if kind == "json_ld":
             try:
                 products(json.loads(text))
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON text, or nested deeper than the parser goes
                 continue
     return out
 

@@ -102,10 +102,14 @@ def read_workbook(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("workbook").load(",".join(paths))
 
 
+# Fixed value: the rows of a sheet among which its header is looked for.
+HEADER_ROWS = 10
+
+
 def header_row(rows: DataFrame) -> DataFrame:
-    """The header of each sheet: among its first ten rows the one with most filled cells, the earliest on a tie."""
+    """The header of each sheet: among its first HEADER_ROWS rows the one with most filled cells, the earliest on a tie."""
     n = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
-    first = rows.filter("row_number <= 10").select("path", "sheet", F.struct(n.alias("n"), (-F.col("row_number")).alias("r"), F.col("cells").alias("cells")).alias("h"))
+    first = rows.filter(F.col("row_number") <= HEADER_ROWS).select("path", "sheet", F.struct(n.alias("n"), (-F.col("row_number")).alias("r"), F.col("cells").alias("cells")).alias("h"))
     return first.groupBy("path", "sheet").agg(F.max_by("h", F.struct("h.n", "h.r")).alias("h")).filter("h.n > 0").select("path", "sheet", (-F.col("h.r")).alias("header_row"), F.col("h.cells").alias("headers"))
 
 

@@ -84,3 +84,16 @@ def test_streams(spark, tmp_path):
     assert len(run(limits.first_only(stream(), ["event_id"], "ts"), "once", "append")) == 3
     assert [r.state for r in sorted(run(limits.breaker(stream(), "k", "ts", "bad"), "brk", "append"), key=lambda r: r.ts)][-1] == "HALF_OPEN"
     assert sum(r.n_events for r in run(limits.windowed_load(stream(), "k", "ts", 60, 60), "load", "complete")) == 4
+
+
+def test_deep_product_data_is_kept():
+    import json
+
+    from partwright.sources import pages
+
+    node = {"v": "deep"}
+    for _ in range(120):
+        node = {"n": [node]}
+    got = pages.page_facts('<script type="application/ld+json">' + json.dumps({"@type": "Product", "name": "A", "x": node}) + "</script>")
+    facts = [f for f in got if f[0] == "product"]
+    assert [f[2] for f in facts] == ["A", "deep"] and facts[1][1].count(".n") == 120
