@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ FUNCTION_WORDS = {
 }
 CODES = list(FUNCTION_WORDS)
 # Slots that terms are hashed to, dimensions that vectors are folded to, leaves, rounds of each bisection.
-SLOTS, DIMS, LEAVES, SPLIT_ROUNDS = 1 << 17, 128, 64, 6
+SLOTS, DIMS, LEAVES, SPLIT_ROUNDS = 1 << 17, 64, 64, 6
 MIN_DOCS = 3
 MIN_SHARE = 0.2
 # From so many labelled documents on, terms must stand in documents of one subject to this share.
@@ -97,6 +98,7 @@ def _read(batches):
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": pd.Series(codes, dtype="int32"), "slots": terms, "counts": counts})
 
 
+@lru_cache(maxsize=1)
 def _fold() -> tuple[np.ndarray, np.ndarray]:
     """The dimension and sign of each slot."""
     rng = np.random.default_rng(5)
@@ -123,14 +125,15 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def grown(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """The centres of the leaves of bisecting k-means over the vectors of all documents."""
+    """The centres of the leaves of bisecting k-means over the vectors of all documents; a vector without length has no direction and takes no part."""
     handle = tokens.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"v": list(folded(list(pdf["slots"]), list(pdf["counts"]), pdf["code"].to_numpy(), handle.value).astype(np.float64))})
+            found = folded(list(pdf["slots"]), list(pdf["counts"]), pdf["code"].to_numpy(), handle.value)
+            yield pd.DataFrame({"v": list(found[np.linalg.norm(found, axis=1) > 0.5])})
 
-    vectors = cut(tokens.filter(F.size("slots") > 0).mapInPandas(run, "v array<double>").select(array_to_vector("v").alias("features")))
+    vectors = cut(tokens.filter(F.size("slots") > 0).mapInPandas(run, "v array<float>")).select(array_to_vector("v").alias("features"))
     if not vectors.head(1):
         return np.zeros((0, DIMS), dtype=np.float32)
     tree = BisectingKMeans(k=LEAVES, maxIter=SPLIT_ROUNDS, seed=7, distanceMeasure="cosine").fit(vectors)
@@ -174,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float =
             yield pdf.assign(leaf=nearest(v, mid).astype("int32"))
 
     placed = tokens.mapInPandas(leafed, "doc_id bigint, code int, slots array<int>, counts array<int>, leaf int")
-    in_leaf = cut(placed.select("doc_id", "code", "leaf", F.arrays_zip("slots", "counts").alias("z")))
-    told = in_leaf.select("doc_id", "code", "leaf").join(broadcast_if_small(marked, marked.count()), "doc_id")
+    in_leaf = cut(placed.select("doc_id", "code", "leaf"))
+    told = in_leaf.join(broadcast_if_small(marked, marked.count()), "doc_id")
     leaf_votes = told.select("code", "leaf", F.explode("s").alias("subject_id"), (1.0 / F.size("s")).alias("w")).groupBy("code", "leaf", "subject_id").agg(F.sum("w").alias("w")).collect()
 
     order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -188,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float =
     telling = {c: telling_terms(by.get(c, []), subject_ids, names, slots, seen[c]) for c in range(len(CODES))}
 
     # the discriminative terms of each leaf, and with them its label
-    cells = in_leaf.select("code", "leaf", F.inline("z")).groupBy("code", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"), F.sum("counts").alias("words"))
+    cells = placed.select("code", "leaf", F.inline(F.arrays_zip("slots", "counts"))).groupBy("code", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"), F.sum("counts").alias("words"))
     cells = cut(cells.join(broadcast_if_small(df.withColumnRenamed("slot", "slots"), len(known)), ["code", "slots"]))
     sizes = in_leaf.groupBy("code", "leaf").agg(F.count(F.lit(1)).alias("size"))
     everywhere = F.broadcast(spark.createDataFrame([(c, float(max(n, 1))) for c, n in enumerate(n_docs)], "code int, total double"))
