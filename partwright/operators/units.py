@@ -65,6 +65,11 @@ _WORD_NUMBER = {w: Fraction(i + 1) for i, w in enumerate(_WORDS)}
 _PART = {"half": 2, "halves": 2, "third": 3, "thirds": 3, "quarter": 4, "quarters": 4, "fourth": 4, "fourths": 4, "eighth": 8, "eighths": 8, "sixteenth": 16, "sixteenths": 16}
 _VULGAR = {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8", "⅓": "1/3", "⅔": "2/3", "⅙": "1/6", "⅚": "5/6", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5"}
 
+_VULGAR_SIGN = re.compile("(?<=\\d)\\s*([{0}])|([{0}])".format("".join(_VULGAR)))
+_OTHER_KIND = re.compile(OTHER_KIND)
+_TOLERANCE = re.compile(r"(?:±|\+\s*/\s*-|\+-)\s*\d[\d.,]*(?=(\s*[a-zµ\"″']*))")
+_ORDINAL = re.compile(r"\b\d+\s*(?:st|nd|rd|th)\b(?:\s+gear)?|\bn[0o₀]?\s*=|\b[a-z]+[- ]speed:")
+
 QUANTITIES = {"Feed Speed": ("feed", FEED, FEED_WRITTEN), "No Load Speed": ("rotation", ROTATION, ROTATION_WRITTEN), "Diameter": ("length", LENGTH, LENGTH_WRITTEN), "Thickness": ("length", LENGTH, LENGTH_WRITTEN)}
 # A restated value may differ by the rounding of both readings and by this share more.
 RESTATE_TOLERANCE = 0.01
@@ -175,9 +180,9 @@ def note_units(note: str | None) -> dict[str, str]:
 
 def _clean(text: str) -> str:
     low = text.lower()
-    for sign, plain in _VULGAR.items():
-        low = re.sub(rf"(?<=\d)\s*{sign}", f" {plain}", low)
-        low = low.replace(sign, plain)
+    if low.isascii():
+        return low
+    low = _VULGAR_SIGN.sub(lambda m: (f" {_VULGAR[m[1]]}" if m[1] else _VULGAR[m[2]]), low)
     return low.replace("−", "-").replace("⁄", "/").replace("‐", "-").replace("‑", "-")
 
 
@@ -191,10 +196,9 @@ def read_value(attribute: str, text: str | None, unit_hint: str | None) -> list[
         return []
     kind, factors, _ = QUANTITIES[attribute]
     low = _clean(text)
-    if re.search(OTHER_KIND, low):
+    if _OTHER_KIND.search(low):
         return []
-    low = re.sub(r"(?:±|\+\s*/\s*-|\+-)\s*\d[\d.,]*(?=(\s*[a-zµ\"″']*))", " ", low)
-    low = re.sub(r"\b\d+\s*(?:st|nd|rd|th)\b(?:\s+gear)?|\bn[0o₀]?\s*=|\b[a-z]+[- ]speed:", " ", low)
+    low = _ORDINAL.sub(" ", _TOLERANCE.sub(" ", low))
     items: list[dict] = []
     at = 0
     while m := _NUMBER.search(low, at):
