@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,16 +49,21 @@ LABEL_PRIOR = 20.0
 # Discriminative terms of a leaf, the match from which it is labelled, the weight of its label in documents, and of its mixture in sentences.
 TOP, MIN_MATCH, OWNER_DOCS, MIXED = 25, 0.7, 2.0, 1.0
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
+# A term, or the white space that ends a sentence.
+_PIECE = re.compile(r"[^\W\d_]{3,}|(?<=[.!?;])\s|\n")
 
 
 def sentences(text: str) -> list[list[str]]:
     """The terms of each sentence, in lower case; a sentence without any term counts for nothing."""
-    out = []
-    for s in _SENTENCE.split(text.lower()):
-        terms = _TERM.findall(s)
-        if terms:
+    out, terms = [], []
+    for piece in _PIECE.findall(text.lower()):
+        if len(piece) > 1:
+            terms.append(piece)
+        elif terms:
             out.append(terms)
+            terms = []
+    if terms:
+        out.append(terms)
     return out
 
 
@@ -66,8 +72,9 @@ def language(parsed: list[list[str]]) -> str:
     seen = dict.fromkeys(FUNCTION_WORDS, 0)
     for terms in parsed:
         for t in terms:
-            for code in _LANGUAGES.get(t, ()):
-                seen[code] += 1
+            if t in _LANGUAGES:
+                for code in _LANGUAGES[t]:
+                    seen[code] += 1
     return max(seen, key=lambda c: (seen[c], c == "en"))
 
 
@@ -346,9 +353,11 @@ class Reader:
         out = np.zeros(len(m["subjects"]) + 1)
         if not flat:
             return out
-        c = Counter(t for s in parsed for t in s)
-        vector = folded([np.fromiter(c, dtype=np.int64)], [np.fromiter(c.values(), dtype=np.float32)], np.array([code]), m["idf"])
-        mixture = m["mixtures"][code, nearest(vector, m["centres"])[0]]
+        terms, counts = np.unique(np.fromiter(chain.from_iterable(parsed), dtype=np.int64), return_counts=True)
+        at, sign = _fold()
+        # only the direction of the vector tells which centre is nearest
+        vector = np.bincount(at[terms], weights=np.log1p(counts) * m["idf"][code, terms] * sign[terms], minlength=DIMS)
+        mixture = m["mixtures"][code, nearest(vector[None, :], m["centres"])[0]]
         best = np.argmax(np.add.reduceat(part["logp"][flat], bounds, axis=0) + part["prior"] + mixture, axis=1)
         np.add.at(out, best, sizes)
         return out / total
