@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +25,25 @@ def fraction_to_double(c: Column) -> Column:
 
 
 def double_to_fraction(c: Column, max_den: int = 64) -> Column:
-    """The nearest fraction with a denominator up to ``max_den``, smallest denominator first, as 'n/d', 'w-n/d' or 'w'."""
-    whole = F.floor(c)
-    rest = c - whole
-    tried = F.transform(F.sequence(F.lit(1), F.lit(max_den)), lambda d: F.struct(F.abs(rest - F.round(rest * d) / d).alias("off"), d.alias("den"), F.round(rest * d).cast("int").alias("num")))
-    best = F.array_min(tried)
-    up = best["num"] == best["den"]
-    w = F.when(up, whole + 1).otherwise(whole).cast("bigint").cast("string")
-    frac = F.concat_ws("/", best["num"], best["den"])
-    return F.when(c.isNull() | (c < 0), F.lit(None).cast("string")).when(up | (best["num"] == 0), w).when(whole == 0, frac).otherwise(F.concat(w, F.lit("-"), frac))
+    """The nearest fraction with a denominator up to ``max_den``, smallest denominator first, as 'n/d', 'w-n/d' or 'w'; null below 0 and for what is no finite number.
+
+    All denominators are tried on a whole Arrow batch at once: functions over arrays are not compiled, and
+    written out the expression takes longer to compile than to run.
+    """
+
+    @F.pandas_udf("string")
+    def nearest(values: pd.Series) -> pd.Series:
+        x = values.to_numpy(dtype=np.float64, na_value=np.nan)
+        valid = np.isfinite(x) & (x >= 0)
+        x = np.where(valid, x, 0.0)
+        whole = np.floor(x)
+        dens = np.arange(1, max_den + 1)
+        scaled = (x - whole)[:, None] * dens
+        nums = np.floor(scaled) + np.floor(2 * (scaled - np.floor(scaled)))  # halves up
+        at = np.abs((x - whole)[:, None] - nums / dens).argmin(axis=1)
+        den, num = dens[at], nums[np.arange(len(x)), at].astype(np.int64)
+        whole = whole.astype(np.int64) + (num == den)
+        out = [str(w) if n in (0, d) else f"{w}-{n}/{d}" if w else f"{n}/{d}" for w, n, d in zip(whole.tolist(), num.tolist(), den.tolist())]
+        return pd.Series(out, dtype=object).where(valid, None)
+
+    return nearest(c)

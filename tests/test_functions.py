@@ -1,3 +1,5 @@
+import math
+import time
 from fractions import Fraction
 
 from hypothesis import given, settings
@@ -60,6 +62,19 @@ def test_fractions_are_nearest(spark, xs):
         assert abs(float(abs(near - Fraction(r.x)) - best)) < 1e-9
 
 
+def test_fractions_of_many_rows(spark):
+    df = spark.range(20_000).select((F.col("id") / 1250).alias("x")).union(spark.createDataFrame([(-1.0,), (float("nan"),), (float("inf"),), (None,)], "x double"))
+    began = time.monotonic()
+    got = [r.f for r in df.select(numbers.double_to_fraction(F.col("x")).alias("f")).collect()]
+    assert time.monotonic() - began < 20
+    assert got[-4:] == [None] * 4
+    for i, f in enumerate(got[:-4]):
+        x = i / 1250
+        off, d, n = min((abs(x % 1 - n / d), d, n) for d in range(1, 65) for n in [math.floor(x % 1 * d + 0.5)])
+        w = int(x) + (n == d)
+        assert f == (str(w) if n in (0, d) else f"{w}-{n}/{d}" if w else f"{n}/{d}")
+
+
 def test_headers():
     assert profile.unique_headers([" a ", "", "a", None, "a"]) == ["a", "__unnamed_2", "a#2", "__unnamed_4", "a#3"]
     assert profile.header_check(["first", "second"], ["second", "unexpected"]) == {"valid": False, "missing": ["first"], "unexpected": ["unexpected"], "duplicate": [], "order_changed": False}
