@@ -3,8 +3,10 @@
 Values are reduced to distinct ones and cut into tokens.  Each distinct token is joined to the
 reference vocabulary by edit distance, through the variants that remain when up to two letters are
 deleted, which is an equality join and finds every pair within two edits.  Corrected tokens are then
-combined with soft TF-IDF to rank whole entries: those that share a rare token with the value, scored over
-all their tokens, so that a word which many entries share never multiplies values with entries.
+combined with soft TF-IDF to rank whole entries, scored over all their tokens: those that share a telling
+token with the value, and those without a telling word which it shares most words with.  The latter are found exactly,
+through those of an entry's rarest words without which the rest of it weighs too little to count; so a
+word which many entries share multiplies values only with entries that hold hardly anything else.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ _ACCENTED = "áàâäãåéèêëíìîïóòôöõøúùûüýÿçñš" + "ÁÀ
 _BARE = "aaaaaaeeeeiiiioooooouuuuyycns" + "AAAAAAEEEEIIIIOOOOOOUUUUYYCNS"
 # An entry is named when the value holds at least this share of its weight, the squares of its tokens' inverse document frequencies.
 MIN_COVER = 1 / 3
+# Without a telling token the words found must hold at least this share of the weight of the entry and of the value alike.
+MIN_BOTH = 0.6
 # Tokens longer than this are cut into pieces instead of deleting letters from them.
 LONG = 40
 # Digits typed for letters.
@@ -127,9 +131,11 @@ def resolve_values(values: DataFrame, registry: DataFrame) -> DataFrame:
     """``kind``, ``value``, ``canonical_id`` for distinct (kind, value) pairs that are names.
 
     First codes and whole names decide; for the rest tokens are repaired and entries ranked by soft
-    TF-IDF.  An entry is a candidate if one of its telling tokens was found, and counts if the tokens
-    found hold at least MIN_COVER of its weight.  Ties go to the entry with fewer edits, then to the
-    smaller id.  The registry's tokens are broadcast only after a count.
+    TF-IDF.  An entry of which a telling token was found counts if the tokens found hold at
+    least MIN_COVER of its weight.  A name that has no telling word counts if they hold at least MIN_BOTH of
+    its weight and of the value's, words that no entry has being the heaviest, and only where no telling token decides.  Ties
+    go to the entry with fewer edits, then to the smaller id.  The registry's tokens are broadcast only
+    after a count.
     """
     named = entries(registry)
     keys = named.select("kind", "record_id", exact_key(F.col("name")).alias("k")).unionByName(
@@ -154,22 +160,34 @@ def resolve_values(values: DataFrame, registry: DataFrame) -> DataFrame:
     index = cut(weighed)
     n_index = index.count()
     # a name's weight is that of its words; a name written as one word holds all of it
-    norms = index.groupBy("kind", "record_id", "name").agg(F.sqrt(F.sum(F.when(~F.col("joined"), F.col("w") * F.col("w")))).alias("norm"))
+    weight = F.when(F.col("joined"), 0.0).otherwise(F.col("w") * F.col("w"))
+    norms = index.groupBy("kind", "record_id", "name").agg(F.sqrt(F.sum(weight)).alias("norm"))
+    # of a name without a telling word those words that, with all lighter ones, can still hold MIN_BOTH of the entry
+    name = Window.partitionBy("kind", "record_id", "name")
+    lighter = F.sum(weight).over(name.orderBy("w", F.col("ref").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    leading = ~F.max(F.col("telling") & ~F.col("joined")).over(name) & (F.col("joined") | (lighter >= (MIN_BOTH - 1e-9) * F.sum(weight).over(name)))
 
     cells = rest.select("kind", "value", F.explode(with_joins(tokens(F.col("value")))).alias("token"))
     counted = cut(cells.groupBy("token").agg(F.count(F.lit(1)).alias("n_cells")))
     repaired = cut(repair_tokens(counted.select("token"), index.select("ref").distinct()).join(counted, "token"))
     total = counted.agg(F.coalesce(F.sum("n_cells"), F.lit(0)).alias("t")).first()["t"]
     soft = cut(join_values(cells, repaired, ["token"], "n_cells", total).groupBy("kind", "value", "ref").agg(F.min("n").alias("n")))
-    rare = index.filter("telling").select("kind", "ref", "record_id", "name")
-    candidates = soft.join(broadcast_if_small(rare, n_index), ["kind", "ref"]).select("kind", "value", "record_id", "name").distinct()
+    rare = index.withColumn("leading", leading).filter("telling or leading").select("kind", "ref", "record_id", "name", "telling")
+    candidates = soft.join(broadcast_if_small(rare, n_index), ["kind", "ref"]).groupBy("kind", "value", "record_id", "name").agg(F.max("telling").alias("told"))
     parts = candidates.join(broadcast_if_small(index.join(norms, ["kind", "record_id", "name"]), n_index), ["kind", "record_id", "name"]).join(soft, ["kind", "value", "ref"])
     likeness = 1 - F.col("n") / F.greatest(F.length("ref"), F.lit(1))
     square = F.col("norm") * F.col("norm")
-    ranked = parts.groupBy("kind", "value", "record_id", "name", "norm").agg(
+    ranked = parts.groupBy("kind", "value", "record_id", "name", "norm", "told").agg(
         F.greatest(F.sum(F.when(F.col("joined"), 0.0).otherwise(likeness * F.col("w") * F.col("w"))), F.max(F.when(F.col("joined"), likeness * square).otherwise(0.0))).alias("s"), F.sum("n").alias("n")
     )
-    ranked = ranked.filter(F.col("s") >= MIN_COVER * square).withColumn("score", F.col("s") / F.col("norm"))
+    ranked = cut(ranked.filter(F.col("s") >= F.when(F.col("told"), MIN_COVER).otherwise(MIN_BOTH) * square).withColumn("score", F.col("s") / F.col("norm")))
+    told, untold = ranked.filter("told"), ranked.filter("not told")
+    open_values = cut(untold.select("kind", "value").distinct().join(told.select("kind", "value").distinct(), ["kind", "value"], "left_anti"))
+    own_words = open_values.select("kind", "value", F.explode(F.array_distinct(tokens(F.col("value")))).alias("token"))
+    known = own_words.select("token").distinct().join(repaired, "token").join(index.select("kind", "ref", "w").distinct(), "ref").groupBy("kind", "token").agg(F.max("w").alias("w"))
+    heaviest = F.log(1 + F.col("n_records"))
+    heavy = own_words.join(known, ["kind", "token"], "left").join(F.broadcast(sizes), "kind").withColumn("w", F.coalesce("w", heaviest)).groupBy("kind", "value").agg(F.sum(F.col("w") * F.col("w")).alias("whole"))
+    ranked = told.unionByName(untold.join(heavy, ["kind", "value"]).filter(F.col("s") >= MIN_BOTH * F.col("whole")).drop("whole"))
     top = Window.partitionBy("kind", "value").orderBy(F.col("score").desc(), "n", "record_id")
     chosen = ranked.withColumn("_r", F.row_number().over(top)).filter("_r = 1").select("kind", "value", F.col("record_id").alias("canonical_id"))
     other = rest.join(chosen, ["kind", "value"], "left").select("kind", "value", F.coalesce("canonical_id", F.lit(UNMATCHED)).alias("canonical_id"))

@@ -164,6 +164,15 @@ def test_names(spark):
     assert {r.canonical_id for r in canonical.map_names(df, "row_id", {"b": "BRAND"}, reg.limit(0)).collect()} == {"UNMATCHED"}
 
 
+def test_names_of_common_words(spark):
+    names = ["SKF", "Bosch Tools", "Bosch Rexroth", "Bosch Thermo", "Power Thermo", "Power Tools", "Rexroth Power", "Supply Co", "Bosch Power Supply Co", "Rexroth Supply Co"] + [f"Name{chr(97 + i) * 6} Ltd" for i in range(12)]
+    reg = spark.createDataFrame([(f"M{i:02}", "MANUFACTURER", n, f"c{i}x", None, []) for i, n in enumerate(names)], "record_id string, record_kind string, canonical_name string, code string, manufacturer_id string, aliases array<string>")
+    cases = [("SKF Ltd", "M00"), ("Tools - Bosch", "M01"), ("Rexrot, Bosch", "M02"), ("Co of Power, Bosch Supply", "M08"), ("Power / Thermo Ltd", "M04"), ("Fenkyvane Ltd", "UNMATCHED"), ("Nameaaaaaa SKF", "M10")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "row_id bigint, part_manuf string")
+    got = {r.row_id: r.canonical_id for r in canonical.map_names(df, "row_id", {"part_manuf": "MANUFACTURER"}, reg).collect()}
+    assert [(c[0], got.get(i)) for i, c in enumerate(cases)] == cases
+
+
 def test_residue(spark):
     bad = ["{{ brand }}", "[insert mfr]", "-- No DIB Brand --", "n/a", "Error 503", "lorem ipsum", "%BRAND_NAME%", "#REF!", "????", "No Brand", "your brand here", "<title>Service Unavailable"]
     good = ["Nullard", "Unbrandt", "Errorlok", "Xxenon", "Tobeco", "N&A Tools", "Lumnolund", "Nonesuch Hardware"]
