@@ -316,6 +316,20 @@ def test_leaks_without_names(spark):
     assert got == {(1, 1), (2, 2)}
 
 
+def test_leaks_of_common_words(spark):
+    rnd = random.Random(4)
+    common = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)]
+    names = "Brimowick asked Kortudal to clear 77-11 drains and Zanlatex to close 81-2 valves {} "
+    passage, changed, stock = (rnd.sample(common, 40) for _ in range(3))
+    items = [(1, names.format("Velmotex") + " ".join(passage)), (2, names.format("Velladal") + " ".join(changed)), (3, names.format("Zanmowick") + " ".join(stock))]
+    every_other = [w if i % 2 else "changed" for i, w in enumerate(changed)] + changed[:4]
+    docs = [(i, " ".join(rnd.choice(common) for _ in range(30))) for i in range(400)] + [(500 + i, "so " + " ".join(stock[5:30])) for i in range(30)]
+    docs += [(900, " ".join(passage[3:28])), (901, "so " + " ".join(every_other))]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, "doc_id", "text", i, "item_id", "text").filter("n_words >= 20").collect()}
+    assert got == {(900, 1), (901, 2)}
+
+
 def test_carried_against_brute_force():
     rnd = random.Random(5)
     item = [f"w{rnd.randint(0, 30)}" for _ in range(40)]
