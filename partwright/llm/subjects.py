@@ -14,17 +14,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partwright.llm.leakage import each_text
 from partwright.session import broadcast_if_small, cut
 
 # Bound of the labelled sample: documents of a language whose sentences sharpen the word distributions.
@@ -51,6 +52,11 @@ TOP, MIN_MATCH, OWNER_DOCS, MIXED = 25, 0.7, 2.0, 1.0
 _TERM = re.compile(r"[^\W\d_]{3,}")
 # A term, or the white space that ends a sentence.
 _PIECE = re.compile(r"[^\W\d_]{3,}|(?<=[.!?;])\s|\n")
+# The same for ASCII text: what ends a sentence to a word of its own, then all but letters to spaces.
+_END = re.compile(r"[.!?;\n](?:(?<=\n)|\s)")
+_LETTERS = str.maketrans({chr(i): chr(i).lower() if chr(i).isalpha() else " " for i in range(1, 128)})
+# Letters of text cut into terms at a time.
+CHUNK = 4_000_000
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -94,15 +100,83 @@ class Slots(dict):
         return got
 
 
+class Pieces(dict):
+    """The number of each piece of a text, worked out once: a term's slot and, in the bits above, the languages it tells; -1 ends a sentence, -2 is a word too short for a term."""
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        if len(piece) < 3:
+            got = -2 if piece.isalpha() else -1
+        else:
+            got = zlib.crc32(piece.encode()) % SLOTS + SLOTS * sum(1 << CODES.index(c) for c in _LANGUAGES.get(piece, ()))
+        self[piece] = got
+        return got
+
+
+def pieces(text: str) -> list[str]:
+    """The terms of a text in lower case, ends of sentences and, maybe, shorter words."""
+    if text.isascii() and "\0" not in text:
+        return _END.sub(" \0 ", text).translate(_LETTERS).split()
+    return _PIECE.findall(text.lower())
+
+
+class Parsed:
+    """The terms of several texts, one after the other: ``slot``, the number of the text ``of`` and of the ``sentence``; ``code`` of each text's language."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        """``flat``: numbers as Pieces gives them; ``sizes``: how many each text has."""
+        self.n = len(sizes)
+        ends = flat == -1
+        ends[np.cumsum(sizes)[:-1][sizes[1:] > 0]] |= True  # a text begins a sentence
+        kept = np.flatnonzero(flat >= 0)
+        of, sentence = np.repeat(np.arange(self.n), sizes), np.cumsum(ends)
+        self.of, self.sentence = of[kept], sentence[kept]
+        self.slot, told = flat[kept] % SLOTS, flat[kept] // SLOTS
+        seen = np.stack([np.bincount(self.of[told >> c & 1 > 0], minlength=self.n) for c in range(len(CODES))])
+        self.code = seen.argmax(axis=0)  # English is the first
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, slot and how often, by text and slot."""
+        keys, n = np.unique(self.of * SLOTS + self.slot, return_counts=True)
+        return keys // SLOTS, keys % SLOTS, n
+
+
+def parsed(texts: Iterable[str], numbers: Pieces) -> Iterator[Parsed]:
+    """The terms of stretches of the texts."""
+    flat, sizes, letters = [], [], 0
+    for text in texts:
+        found = pieces(text)
+        flat += found
+        sizes.append(len(found))
+        letters += len(text)
+        if letters >= CHUNK:
+            yield Parsed(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(sizes))
+            flat, sizes, letters = [], [], 0
+    if sizes:
+        yield Parsed(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(sizes))
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
+
+
 def _read(batches):
-    slots = Slots()
-    for pdf in batches:
-        codes, terms, counts = [], [], []
-        for text in pdf["text"]:
-            parsed = sentences(text)
-            c = Counter(slots[t] for s in parsed for t in s)
-            codes.append(CODES.index(language(parsed))), terms.append(list(c)), counts.append(list(c.values()))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": pd.Series(codes, dtype="int32"), "slots": terms, "counts": counts})
+    numbers = Pieces()
+    for batch in batches:
+        done = 0
+        for part in parsed(each_text(batch.column(1)), numbers):
+            of, slot, n = part.counts()
+            sizes = np.bincount(of, minlength=part.n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, part.n), pa.array(part.code, pa.int32()), _lists(sizes, slot, pa.int32()), _lists(sizes, n, pa.int32())], ["doc_id", "code", "slots", "counts"])
+            done += part.n
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, slot and count of what _read gave, and the codes of the documents."""
+    slots, counts = batch.column("slots"), batch.column("counts")
+    of = np.repeat(np.arange(batch.num_rows), slots.value_lengths().to_numpy())
+    return of, slots.flatten().to_numpy(), counts.flatten().to_numpy(), batch.column("code").to_numpy()
 
 
 @lru_cache(maxsize=1)
@@ -112,18 +186,16 @@ def _fold() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(DIMS, size=SLOTS), rng.choice(np.array([-1.0, 1.0], dtype=np.float32), size=SLOTS)
 
 
-def folded(slots: list[np.ndarray], counts: list[np.ndarray], codes: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The normalised vectors of documents: log counts weighted by inverse document frequency, folded by signed hashing."""
+def summed(of: np.ndarray, slots: np.ndarray, counts: np.ndarray, codes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The vectors of documents: log counts weighted by inverse document frequency, folded by signed hashing."""
     at, sign = _fold()
-    out = np.zeros((len(slots), DIMS), dtype=np.float32)
-    if not len(slots):
-        return out
-    sizes = np.array([len(s) for s in slots])
-    if sizes.sum():
-        flat, c = np.concatenate([np.asarray(s, dtype=np.int64) for s in slots]), np.concatenate([np.asarray(x, dtype=np.float32) for x in counts])
-        of = np.repeat(np.arange(len(slots)), sizes)
-        w = np.log1p(c) * idf[np.asarray(codes)[of], flat] * sign[flat]
-        out += np.bincount(of * DIMS + at[flat], weights=w, minlength=len(slots) * DIMS).reshape(out.shape).astype(np.float32)
+    w = np.log1p(counts) * idf[codes[of], slots] * sign[slots]
+    return np.bincount(of * DIMS + at[slots], weights=w, minlength=len(codes) * DIMS).reshape(len(codes), DIMS)
+
+
+def folded(of: np.ndarray, slots: np.ndarray, counts: np.ndarray, codes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The normalised vectors of documents."""
+    out = summed(of, slots, counts.astype(np.float32), codes, idf).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -136,11 +208,12 @@ def grown(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
     handle = tokens.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
-        for pdf in batches:
-            found = folded(list(pdf["slots"]), list(pdf["counts"]), pdf["code"].to_numpy(), handle.value)
-            yield pd.DataFrame({"v": list(found[np.linalg.norm(found, axis=1) > 0.5])})
+        for batch in batches:
+            found = folded(*_unpacked(batch), handle.value)
+            found = found[np.linalg.norm(found, axis=1) > 0.5]
+            yield pa.RecordBatch.from_arrays([_lists(np.full(len(found), DIMS), found.ravel(), pa.float32())], ["v"])
 
-    vectors = cut(tokens.filter(F.size("slots") > 0).mapInPandas(run, "v array<float>")).select(array_to_vector("v").alias("features"))
+    vectors = cut(tokens.filter(F.size("slots") > 0).mapInArrow(run, "v array<float>")).select(array_to_vector("v").alias("features"))
     if not vectors.head(1):
         return np.zeros((0, DIMS), dtype=np.float32)
     tree = BisectingKMeans(k=LEAVES, maxIter=SPLIT_ROUNDS, seed=7, distanceMeasure="cosine").fit(vectors)
@@ -159,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float =
     names = {r["subject_id"]: f"{r['subject_name'] or ''} {r['description'] or ''}" for r in subjects.collect()}
     subject_ids = sorted(names)
     texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    tokens = cut(texts.mapInPandas(_read, "doc_id bigint, code int, slots array<int>, counts array<int>"))
+    tokens = cut(texts.mapInArrow(_read, "doc_id bigint, code int, slots array<int>, counts array<int>"))
     held = tokens.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
     n_docs = np.zeros(len(CODES))
     for r in held:
@@ -179,12 +252,22 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float =
 
     def leafed(batches):
         weights, mid = handle.value
-        for pdf in batches:
-            v = folded(list(pdf["slots"]), list(pdf["counts"]), pdf["code"].to_numpy(), weights)
-            yield pdf.assign(leaf=nearest(v, mid).astype("int32"))
+        for batch in batches:
+            leaf = nearest(folded(*_unpacked(batch), weights), mid)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("code"), pa.array(leaf, pa.int32())], ["doc_id", "code", "leaf"])
 
-    placed = tokens.mapInPandas(leafed, "doc_id bigint, code int, slots array<int>, counts array<int>, leaf int")
-    in_leaf = cut(placed.select("doc_id", "code", "leaf"))
+    def gathered(batches):
+        weights, mid = handle.value
+        for batch in batches:
+            of, slots, counts, codes = _unpacked(batch)
+            leaf = nearest(folded(of, slots, counts, codes, weights), mid)
+            keys, at, n = np.unique((codes * np.int64(LEAVES) + leaf)[of] * SLOTS + slots, return_inverse=True, return_counts=True)
+            words = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+            own = keys // SLOTS
+            columns = {"code": pa.array(own // LEAVES, pa.int32()), "leaf": pa.array(own % LEAVES, pa.int32()), "slots": pa.array(keys % SLOTS, pa.int32()), "n": pa.array(n), "words": pa.array(words)}
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    in_leaf = cut(tokens.mapInArrow(leafed, "doc_id bigint, code int, leaf int"))
     told = in_leaf.join(broadcast_if_small(marked, marked.count()), "doc_id")
     leaf_votes = told.select("code", "leaf", F.explode("s").alias("subject_id"), (1.0 / F.size("s")).alias("w")).groupBy("code", "leaf", "subject_id").agg(F.sum("w").alias("w")).collect()
 
@@ -198,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float =
     telling = {c: telling_terms(by.get(c, []), subject_ids, names, slots, seen[c]) for c in range(len(CODES))}
 
     # the discriminative terms of each leaf, and with them its label
-    cells = placed.select("code", "leaf", F.inline(F.arrays_zip("slots", "counts"))).groupBy("code", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"), F.sum("counts").alias("words"))
+    cells = tokens.mapInArrow(gathered, "code int, leaf int, slots int, n bigint, words bigint").groupBy("code", "leaf", "slots").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     cells = cut(cells.join(broadcast_if_small(df.withColumnRenamed("slot", "slots"), len(known)), ["code", "slots"]))
     sizes = in_leaf.groupBy("code", "leaf").agg(F.count(F.lit(1)).alias("size"))
     everywhere = F.broadcast(spark.createDataFrame([(c, float(max(n, 1))) for c, n in enumerate(n_docs)], "code int, total double"))
@@ -331,36 +414,29 @@ class Reader:
     """Reads documents with a model."""
 
     def __init__(self, model: dict):
-        self.model, self.slots = model, Slots()
-        self.places = [{int(s): i for i, s in enumerate(p["slots"])} for p in model["parts"]]
+        self.model, self.numbers = model, Pieces()
+        self.places = np.full((len(CODES), SLOTS), -1, dtype=np.int32)
+        for c, part in enumerate(model["parts"]):
+            self.places[c, part["slots"]] = np.arange(len(part["slots"]))
 
-    def shares(self, text: str) -> np.ndarray:
-        """The share of a text's words that each component covers; the last is none."""
+    def shares(self, read: Parsed) -> np.ndarray:
+        """The share of each text's words that each component covers; the last is none."""
         m = self.model
-        found = sentences(text)
-        parsed = [[self.slots[t] for t in s] for s in found]
-        code = CODES.index(language(found))
-        part, place = m["parts"][code], self.places[code]
-        flat, bounds, sizes = [], [], []
-        total = 0
-        for s in parsed:
-            total += len(s)
-            tokens = [i for i in map(place.get, s) if i is not None]
-            if tokens:
-                bounds.append(len(flat))
-                sizes.append(len(s))
-                flat.extend(tokens)
-        out = np.zeros(len(m["subjects"]) + 1)
-        if not flat:
-            return out
-        terms, counts = np.unique(np.fromiter(chain.from_iterable(parsed), dtype=np.int64), return_counts=True)
-        at, sign = _fold()
-        # only the direction of the vector tells which centre is nearest
-        vector = np.bincount(at[terms], weights=np.log1p(counts) * m["idf"][code, terms] * sign[terms], minlength=DIMS)
-        mixture = m["mixtures"][code, nearest(vector[None, :], m["centres"])[0]]
-        best = np.argmax(np.add.reduceat(part["logp"][flat], bounds, axis=0) + part["prior"] + mixture, axis=1)
-        np.add.at(out, best, sizes)
-        return out / total
+        out = np.zeros((read.n, len(m["subjects"]) + 1))
+        of, slots, counts = read.counts()
+        # only the direction of a vector tells which centre is nearest
+        leaf = nearest(summed(of, slots, counts, read.code, m["idf"]), m["centres"])
+        sizes = np.bincount(read.sentence)
+        place = self.places[read.code[read.of], read.slot]
+        for c, part in enumerate(m["parts"]):
+            at = np.flatnonzero((place >= 0) & (read.code[read.of] == c))
+            if not len(at):
+                continue
+            bounds = np.flatnonzero(np.diff(read.sentence[at], prepend=-1))
+            text, sentence = read.of[at[bounds]], read.sentence[at[bounds]]
+            best = np.argmax(np.add.reduceat(part["logp"][place[at]], bounds, axis=0) + part["prior"] + m["mixtures"][c, leaf[text]], axis=1)
+            np.add.at(out, (text, best), sizes[sentence])
+        return out / np.maximum(np.bincount(read.of, minlength=read.n), 1)[:, None]
 
 
 def subject_shares(docs: DataFrame, model: dict) -> DataFrame:
@@ -369,16 +445,16 @@ def subject_shares(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         reader = Reader(handle.value)
-        subject_ids = reader.model["subjects"]
-        for pdf in batches:
-            d, s, w = [], [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                for j, x in enumerate(reader.shares(text)[:-1]):
-                    if x > 0:
-                        d.append(doc), s.append(subject_ids[j]), w.append(x)
-            yield pd.DataFrame({"doc_id": pd.Series(d, dtype="int64"), "subject_id": pd.Series(s, dtype="int32"), "share": pd.Series(w, dtype="float64")})
-
-    return docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, subject_id int, share double")
+        subject_ids = pa.array(reader.model["subjects"], pa.int32())
+        for batch in batches:
+            done = 0
+            for part in parsed(each_text(batch.column(1)), reader.numbers):
+                share = reader.shares(part)[:, :-1]
+                at, j = np.nonzero(share > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + done)), subject_ids.take(pa.array(j)), pa.array(share[at, j])], ["doc_id", "subject_id", "share"])
+                done += part.n
+
+    return docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, subject_id int, share double")
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
