@@ -5,9 +5,9 @@ tell.  The normalised vectors of all documents, folded to few dimensions, are sp
 Each leaf is labelled with the subject whose telling terms its own discriminative terms match best, and
 holds a mixture of subjects, from the labelled documents in it and from its label.  The words of all
 leaves of a subject start its word distribution, which is sharpened on the sentences of the labelled
-documents, since one sentence treats one subject.  Every document is then read whole: its leaf's mixture
-is the prior of its sentences, each goes to the subject that explains it best, and the document has each
-subject that covers at least a fifth of its words.
+documents, since one sentence treats one subject.  Every document is then read whole, from its terms, which
+are written once: its leaf's mixture is the prior of its sentences, each goes to the subject that explains it
+best, and the document has each subject that covers at least a fifth of its words.
 """
 
 from __future__ import annotations
@@ -124,23 +124,30 @@ def pieces(text: str) -> list[str]:
 class Parsed:
     """The terms of several texts, one after the other: ``slot``, the number of the text ``of`` and of the ``sentence``; ``code`` of each text's language."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
-        """``flat``: numbers as Pieces gives them; ``sizes``: how many each text has."""
-        self.n = len(sizes)
-        ends = flat == -1
-        ends[np.cumsum(sizes)[:-1][sizes[1:] > 0]] |= True  # a text begins a sentence
-        kept = np.flatnonzero(flat >= 0)
-        of, sentence = np.repeat(np.arange(self.n), sizes), np.cumsum(ends)
-        self.of, self.sentence = of[kept], sentence[kept]
-        self.slot, told = flat[kept] % SLOTS, flat[kept] // SLOTS
-        seen = np.stack([np.bincount(self.of[told >> c & 1 > 0], minlength=self.n) for c in range(len(CODES))])
-        self.code = seen.argmax(axis=0)  # English is the first
+    def __init__(self, of: np.ndarray, sentence: np.ndarray, slot: np.ndarray, code: np.ndarray):
+        self.n, self.of, self.sentence, self.slot, self.code = len(code), of, sentence, slot, code
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, slot and how often, by text and slot."""
         keys, n = np.unique(self.of * SLOTS + self.slot, return_counts=True)
         return keys // SLOTS, keys % SLOTS, n
 
+    def stored(self) -> tuple[pa.Array, pa.Array]:
+        """What is kept of each text: ``code`` and ``terms``, the slots, with SLOTS added where a sentence begins."""
+        begins = np.diff(self.sentence, prepend=-1) > 0
+        ends = np.append(0, np.cumsum(np.bincount(self.of, minlength=self.n)))
+        return pa.array(self.code, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.slot + SLOTS * begins, pa.int32()))
+
+
+def numbered(flat: np.ndarray, sizes: np.ndarray) -> Parsed:
+    """Texts of pieces with numbers as Pieces gives them; ``sizes``: how many each text has."""
+    ends = flat == -1
+    ends[np.cumsum(sizes)[:-1][sizes[1:] > 0]] = True  # a text begins a sentence
+    kept = np.flatnonzero(flat >= 0)
+    of, told = np.repeat(np.arange(len(sizes)), sizes)[kept], flat[kept] // SLOTS
+    seen = np.stack([np.bincount(of[told >> c & 1 > 0], minlength=len(sizes)) for c in range(len(CODES))])
+    return Parsed(of, np.cumsum(ends)[kept], flat[kept] % SLOTS, seen.argmax(axis=0))  # English is the first
+
 
 def parsed(texts: Iterable[str], numbers: Pieces) -> Iterator[Parsed]:
     """The terms of stretches of the texts."""
@@ -151,14 +158,10 @@ def parsed(texts: Iterable[str], numbers: Pieces) -> Iterator[Parsed]:
         sizes.append(len(found))
         letters += len(text)
         if letters >= CHUNK:
-            yield Parsed(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(sizes))
+            yield numbered(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(sizes))
             flat, sizes, letters = [], [], 0
     if sizes:
-        yield Parsed(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(sizes))
-
-
-def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
+        yield numbered(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(sizes))
 
 
 def _read(batches):
@@ -166,17 +169,34 @@ def _read(batches):
     for batch in batches:
         done = 0
         for part in parsed(each_text(batch.column(1)), numbers):
-            of, slot, n = part.counts()
-            sizes = np.bincount(of, minlength=part.n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, part.n), pa.array(part.code, pa.int32()), _lists(sizes, slot, pa.int32()), _lists(sizes, n, pa.int32())], ["doc_id", "code", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, part.n), *part.stored()], ["doc_id", "code", "terms"])
             done += part.n
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, slot and count of what _read gave, and the codes of the documents."""
-    slots, counts = batch.column("slots"), batch.column("counts")
-    of = np.repeat(np.arange(batch.num_rows), slots.value_lengths().to_numpy())
-    return of, slots.flatten().to_numpy(), counts.flatten().to_numpy(), batch.column("code").to_numpy()
+def read_again(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Parsed]]:
+    """``doc_id`` and terms of stretches of what _read gave."""
+    doc, code, terms = (batch.column(c) for c in ("doc_id", "code", "terms"))
+    sizes = terms.value_lengths().to_numpy()
+    stretch = np.cumsum(sizes, dtype=np.int64) // (CHUNK // 4)
+    for begin, end in zip(first := np.flatnonzero(np.diff(stretch, prepend=-1)), np.append(first[1:], len(sizes))):
+        flat = terms.slice(begin, end - begin).flatten().to_numpy()
+        yield doc.slice(begin, end - begin), Parsed(np.repeat(np.arange(end - begin), sizes[begin:end]), np.cumsum(flat // SLOTS) - 1, flat % SLOTS, code.slice(begin, end - begin).to_numpy())
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``code`` and ``terms`` of every document with a text, written to the shared folder; the text is not read again."""
+    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return cut(texts.mapInArrow(_read, "doc_id bigint, code int, terms array<int>"))
+
+
+def _document_counts(batches):
+    n = np.zeros(len(CODES) * SLOTS, dtype=np.int64)
+    for batch in batches:
+        for _, part in read_again(batch):
+            of, slots, _ = part.counts()
+            n += np.bincount(part.code[of] * SLOTS + slots, minlength=len(n))
+    seen = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(seen // SLOTS, pa.int32()), pa.array(seen % SLOTS, pa.int32()), pa.array(n[seen])], ["code", "slot", "df"])
 
 
 @lru_cache(maxsize=1)
@@ -209,11 +229,12 @@ def grown(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            found = folded(*_unpacked(batch), handle.value)
-            found = found[np.linalg.norm(found, axis=1) > 0.5]
-            yield pa.RecordBatch.from_arrays([_lists(np.full(len(found), DIMS), found.ravel(), pa.float32())], ["v"])
+            for _, part in read_again(batch):
+                found = folded(*part.counts(), part.code, handle.value)
+                found = found[np.linalg.norm(found, axis=1) > 0.5]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * DIMS, pa.int32()), pa.array(found.ravel(), pa.float32()))], ["v"])
 
-    vectors = cut(tokens.filter(F.size("slots") > 0).mapInArrow(run, "v array<float>")).select(array_to_vector("v").alias("features"))
+    vectors = cut(tokens.filter(F.size("terms") > 0).mapInArrow(run, "v array<float>")).select(array_to_vector("v").alias("features"))
     if not vectors.head(1):
         return np.zeros((0, DIMS), dtype=np.float32)
     tree = BisectingKMeans(k=LEAVES, maxIter=SPLIT_ROUNDS, seed=7, distanceMeasure="cosine").fit(vectors)
@@ -221,8 +242,8 @@ def grown(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float = MIXED) -> dict:
-    """The model: word distributions per language, leaves and their mixtures.
+def fit(docs: DataFrame, tokens: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float = MIXED) -> dict:
+    """The model: word distributions per language, leaves and their mixtures; ``tokens`` are the terms of the documents.
 
     Counts, vectors, leaves, discriminative terms and mixtures come from all documents; only the sentences
     that sharpen the word distributions are those of at most LABELLED_DOCS labelled documents a language.
@@ -232,12 +253,11 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float =
     names = {r["subject_id"]: f"{r['subject_name'] or ''} {r['description'] or ''}" for r in subjects.collect()}
     subject_ids = sorted(names)
     texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    tokens = cut(texts.mapInArrow(_read, "doc_id bigint, code int, slots array<int>, counts array<int>"))
     held = tokens.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
     n_docs = np.zeros(len(CODES))
     for r in held:
         n_docs[r["code"]] = r["n"]
-    df = cut(tokens.select("code", F.explode("slots").alias("slot")).groupBy("code", "slot").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= MIN_DOCS))
+    df = cut(tokens.mapInArrow(_document_counts, "code int, slot int, df bigint").groupBy("code", "slot").agg(F.sum("df").alias("df")).filter(F.col("df") >= MIN_DOCS))
     idf, seen = np.zeros((len(CODES), SLOTS), dtype=np.float32), np.zeros((len(CODES), SLOTS), dtype=np.float64)
     known = df.toPandas()
     if len(known):
@@ -253,19 +273,21 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, mixed: float =
     def leafed(batches):
         weights, mid = handle.value
         for batch in batches:
-            leaf = nearest(folded(*_unpacked(batch), weights), mid)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("code"), pa.array(leaf, pa.int32())], ["doc_id", "code", "leaf"])
+            for doc, part in read_again(batch):
+                leaf = nearest(folded(*part.counts(), part.code, weights), mid)
+                yield pa.RecordBatch.from_arrays([doc, pa.array(part.code, pa.int32()), pa.array(leaf, pa.int32())], ["doc_id", "code", "leaf"])
 
     def gathered(batches):
         weights, mid = handle.value
         for batch in batches:
-            of, slots, counts, codes = _unpacked(batch)
-            leaf = nearest(folded(of, slots, counts, codes, weights), mid)
-            keys, at, n = np.unique((codes * np.int64(LEAVES) + leaf)[of] * SLOTS + slots, return_inverse=True, return_counts=True)
-            words = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
-            own = keys // SLOTS
-            columns = {"code": pa.array(own // LEAVES, pa.int32()), "leaf": pa.array(own % LEAVES, pa.int32()), "slots": pa.array(keys % SLOTS, pa.int32()), "n": pa.array(n), "words": pa.array(words)}
-            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+            for _, part in read_again(batch):
+                of, slots, counts = part.counts()
+                leaf = nearest(folded(of, slots, counts, part.code, weights), mid)
+                keys, at, n = np.unique((part.code * np.int64(LEAVES) + leaf)[of] * SLOTS + slots, return_inverse=True, return_counts=True)
+                words = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+                own = keys // SLOTS
+                columns = {"code": pa.array(own // LEAVES, pa.int32()), "leaf": pa.array(own % LEAVES, pa.int32()), "slots": pa.array(keys % SLOTS, pa.int32()), "n": pa.array(n), "words": pa.array(words)}
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     in_leaf = cut(tokens.mapInArrow(leafed, "doc_id bigint, code int, leaf int"))
     told = in_leaf.join(broadcast_if_small(marked, marked.count()), "doc_id")
@@ -414,7 +436,7 @@ class Reader:
     """Reads documents with a model."""
 
     def __init__(self, model: dict):
-        self.model, self.numbers = model, Pieces()
+        self.model = model
         self.places = np.full((len(CODES), SLOTS), -1, dtype=np.int32)
         for c, part in enumerate(model["parts"]):
             self.places[c, part["slots"]] = np.arange(len(part["slots"]))
@@ -439,22 +461,20 @@ class Reader:
         return out / np.maximum(np.bincount(read.of, minlength=read.n), 1)[:, None]
 
 
-def subject_shares(docs: DataFrame, model: dict) -> DataFrame:
+def subject_shares(tokens: DataFrame, model: dict) -> DataFrame:
     """``doc_id``, ``subject_id``, ``share`` of every document and subject with a share above 0."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         reader = Reader(handle.value)
         subject_ids = pa.array(reader.model["subjects"], pa.int32())
         for batch in batches:
-            done = 0
-            for part in parsed(each_text(batch.column(1)), reader.numbers):
+            for doc, part in read_again(batch):
                 share = reader.shares(part)[:, :-1]
                 at, j = np.nonzero(share > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + done)), subject_ids.take(pa.array(j)), pa.array(share[at, j])], ["doc_id", "subject_id", "share"])
-                done += part.n
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(at)), subject_ids.take(pa.array(j)), pa.array(share[at, j])], ["doc_id", "subject_id", "share"])
 
-    return docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, subject_id int, share double")
+    return tokens.mapInArrow(run, "doc_id bigint, subject_id int, share double")
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -464,4 +484,5 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -
     under its id; without documents, labels or subjects the result is empty or rests on names and
     descriptions alone; extra columns are ignored.
     """
-    return subject_shares(docs, fit(docs, labels, subjects)).filter(F.col("share") >= MIN_SHARE).select("doc_id", "subject_id")
+    tokens = document_terms(docs)
+    return subject_shares(tokens, fit(docs, tokens, labels, subjects)).filter(F.col("share") >= MIN_SHARE).select("doc_id", "subject_id")

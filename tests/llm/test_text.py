@@ -451,6 +451,10 @@ def test_terms_of_batches_are_those_of_sentences():
     texts = _texts(rnd, 2000)
     read, = subjects.parsed(texts, subjects.Pieces())
     slots = subjects.Slots()
+    code, terms = read.stored()
+    (doc, again), = subjects.read_again(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), code, terms], ["doc_id", "code", "terms"]))
+    assert doc.to_pylist() == list(range(len(texts))) and (again.of == read.of).all() and (again.slot == read.slot).all() and (again.code == read.code).all()
+    assert (np.diff(again.sentence) == (np.diff(read.sentence) > 0)).all()
     got = [[] for _ in texts]
     for i, s, t in zip(read.of, read.sentence, read.slot):
         got[i].append((s, t))
@@ -481,3 +485,19 @@ def test_shares_of_batches_by_single_documents():
             if told := [place[slots[t]] for t in s if slots[t] in place]:
                 want[np.argmax(sum(parts[c]["logp"][i] for i in told) + parts[c]["prior"] + mixture)] += len(s)
         assert np.allclose(got, want / max(1, sum(map(len, found)))), text
+
+
+def test_subjects_read_the_text_once_beside_the_labelled_sample(spark):
+    d = spark.createDataFrame([(i, f"The {'pump' if i % 2 else 'drill'} was taken before the {'valve' if i % 2 else 'chuck'} came. ") for i in range(60)], "doc_id bigint, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    labels = spark.createDataFrame([(i, i, 1 + i % 2) for i in range(40)], "label_id bigint, doc_id bigint, subject_id int")
+    areas = spark.createDataFrame([(1, "drills", None), (2, "pumps", None)], "subject_id int, subject_name string, description string")
+    got = {(r.doc_id, r.subject_id) for r in subjects.document_subjects(d.mapInPandas(counted, d.schema), labels, areas).collect()}
+    assert got == {(i, 1 + i % 2) for i in range(60)}
+    assert read.value == 2 * 60
